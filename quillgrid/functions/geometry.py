@@ -7,20 +7,37 @@ last bit: if ``farthest <= D*D`` then each pair passes, if ``nearest > D*D`` non
 """
 
 import math
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+UNROLLED = 64  # more centers than this go into one array, not one expression each
+
+
 def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return (ax - bx) * (ax - bx) + (ay - by) * (ay - by)
 
 
-def nearest_squared(x: Column, y: Column, centers: Iterable[tuple[float, float]]) -> Column:
+def _to_each(x: Column, y: Column, centers: Sequence[tuple[float, float]], then) -> Column:
+    """Least of ``then(d2, rank)`` over fixed centers."""
+    if len(centers) > UNROLLED:
+        fixed = F.array(*(F.struct(F.lit(float(cx)).alias("x"), F.lit(float(cy)).alias("y")) for cx, cy in centers))
+        return F.array_min(F.transform(fixed, lambda c, rank: then(squared_distance(x, y, c.x, c.y), rank)))
+    each = [then(squared_distance(x, y, F.lit(float(cx)), F.lit(float(cy))), F.lit(rank))
+            for rank, (cx, cy) in enumerate(centers)]
+    return each[0] if len(each) == 1 else F.least(*each)
+
+
+def nearest_squared(x: Column, y: Column, centers: Sequence[tuple[float, float]]) -> Column:
     """Squared distance to the closest of some fixed centers."""
-    d2 = [squared_distance(x, y, F.lit(float(cx)), F.lit(float(cy))) for cx, cy in centers]
-    return d2[0] if len(d2) == 1 else F.least(*d2)
+    return _to_each(x, y, centers, lambda d2, rank: d2)
+
+
+def nearest_center_struct(x: Column, y: Column, centers: Sequence[tuple[float, float]]) -> Column:
+    """``(d2, center)`` of the closest center, the lowest rank on ties."""
+    return _to_each(x, y, centers, lambda d2, rank: F.struct(d2.alias("d2"), rank.alias("center")))
 
 
 def cell_side(distance: float) -> float:
