@@ -1,4 +1,8 @@
-"""Item streams as ``(pos, item)``: ``pos`` counts arrivals from 1."""
+"""Item streams as ``(at, item)``: ``at`` counts arrivals from 0.
+
+A table that numbers its rows from 0 keeps that column as it is, so that "the first n
+arrivals" reaches the scan as a plain comparison and later row groups are skipped.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -7,14 +11,14 @@ from pyspark.sql import functions as F
 from quillgrid.plans.lineage import cut
 
 
-def items(df: DataFrame, item: str | Column, pos: str | Column) -> DataFrame:
+def items(df: DataFrame, item: str | Column, at: str | Column) -> DataFrame:
     """Batch or streaming frame with the arrival number in a column."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    return df.select(col(pos).cast("long").alias("pos"), col(item).cast("long").alias("item"))
+    return df.select(col(at).cast("long").alias("at"), col(item).cast("long").alias("item"))
 
 
 def number_arrivals(df: DataFrame, item: str, order: list[str]) -> DataFrame:
-    """Number the rows 1, 2, ... along ``order`` where no such column exists.
+    """Number the rows 0, 1, ... along ``order`` where no such column exists.
 
     ``order`` must be a total order. Rows are range-partitioned by it, counted per
     part, and numbered inside each part from the part's offset, so no task sees more
@@ -31,4 +35,4 @@ def number_arrivals(df: DataFrame, item: str, order: list[str]) -> DataFrame:
                .select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skipped")))
     in_part = F.row_number().over(W.partitionBy("part").orderBy(*order))
     return (placed.withColumn("nth", in_part).join(F.broadcast(offsets), "part")
-            .select((F.col("skipped") + F.col("nth")).alias("pos"), "item"))
+            .select((F.col("skipped") + F.col("nth") - 1).alias("at"), "item"))
