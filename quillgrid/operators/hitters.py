@@ -1,6 +1,6 @@
 """Frequent items among the first ``n`` arrivals: exact, by reservoir, by sticky sampling.
 
-Streams are ``(at, item)`` with arrivals counted from 0. ``first_arrivals``,
+Streams are ``(arrival, item)`` with arrivals counted from 0. ``first_arrivals``,
 ``histogram`` and ``reservoir`` take a batch or a streaming frame alike.
 """
 
@@ -54,12 +54,12 @@ class Frequency:
 
 
 def draw(salt: str) -> Column:
-    return rng.uniform(F.col("at"), salt)
+    return rng.uniform(F.col("arrival"), salt)
 
 
 def first_arrivals(stream: DataFrame, n: int) -> DataFrame:
     """Exactly the first ``n`` arrivals, however they are cut into batches."""
-    return stream.filter(F.col("at") < checks.whole("n", n, 1)).select("at", "item")
+    return stream.filter(F.col("arrival") < checks.whole("n", n, 1)).select("arrival", "item")
 
 
 def histogram(stream: DataFrame, f: Frequency) -> DataFrame:
@@ -76,17 +76,17 @@ def frequent_exact(stream: DataFrame, f: Frequency) -> DataFrame:
 
 
 def reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
-    """A sample of the arrivals, as ``(slot, item, at)``.
+    """A sample of the arrivals, as ``(slot, item, arrival)``.
 
     The first m arrivals take a slot each. Arrival t > m enters with chance m/t and
     takes over a random slot. As draws depend on the arrival alone, the sample is the
     last arrival of each slot: only about m*ln(n/m) accepted rows are aggregated.
     """
     m = F.lit(f.sample_size)
-    kept = first_arrivals(stream, f.n).filter((F.col("at") < m) | (draw(ACCEPT) <= m / (F.col("at") + 1)))
-    slot = F.when(F.col("at") < m, F.col("at")).otherwise(F.floor(draw(SLOT) * m))
+    kept = first_arrivals(stream, f.n).filter((F.col("arrival") < m) | (draw(ACCEPT) <= m / (F.col("arrival") + 1)))
+    slot = F.when(F.col("arrival") < m, F.col("arrival")).otherwise(F.floor(draw(SLOT) * m))
     return kept.groupBy(slot.alias("slot")).agg(
-        F.max_by("item", "at").alias("item"), F.max("at").alias("at"))
+        F.max_by("item", "arrival").alias("item"), F.max("arrival").alias("arrival"))
 
 
 def frequent_reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
@@ -96,7 +96,7 @@ def frequent_reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
 def first_tracked(arrivals: DataFrame, f: Frequency) -> DataFrame:
     """``(item, first)``: the arrival from which each tracked item is counted."""
     return (arrivals.filter(draw(TRACK) <= F.lit(f.rate))
-            .groupBy("item").agg(F.min("at").alias("first")))
+            .groupBy("item").agg(F.min("arrival").alias("first")))
 
 
 def bounded(tracked: DataFrame, f: Frequency) -> DataFrame:
@@ -109,10 +109,10 @@ def _by_blocks(arrivals: DataFrame, f: Frequency) -> DataFrame:
     An item is ranked within blocks of consecutive arrivals, so one that makes up a
     third of the stream is spread over as many tasks as there are blocks.
     """
-    where = F.shiftright("at", BLOCK_BITS)
-    nth = F.row_number().over(W.partitionBy("item", "block").orderBy("at"))
+    where = F.shiftright("arrival", BLOCK_BITS)
+    nth = F.row_number().over(W.partitionBy("item", "block").orderBy("arrival"))
     blocks = (
-        arrivals.select("item", "at", where.alias("block"), (draw(TRACK) <= F.lit(f.rate)).alias("hit"))
+        arrivals.select("item", "arrival", where.alias("block"), (draw(TRACK) <= F.lit(f.rate)).alias("hit"))
         .withColumn("nth", nth)
         .groupBy("item", "block")
         .agg(F.count("*").alias("n"), F.min(F.when(F.col("hit"), F.col("nth"))).alias("nth")))
@@ -132,7 +132,7 @@ def sticky(stream: DataFrame, f: Frequency) -> DataFrame:
     if f.tracked > BROADCAST_TRACKED:
         return _by_blocks(arrivals, f)
     tracked = bounded(first_tracked(arrivals, f), f)
-    return (arrivals.join(tracked, "item").filter("at >= first")
+    return (arrivals.join(tracked, "item").filter("arrival >= first")
             .groupBy("item").agg(F.count("*").alias("n")))
 
 
@@ -160,7 +160,7 @@ def report(stream: DataFrame, f: Frequency) -> DataFrame:
     else:
         counts = (arrivals.join(bounded(first_tracked(arrivals, f), f), "item", "left").groupBy("item")
                   .agg(F.count("*").alias("n"), F.max("first").alias("first"),
-                       F.count_if(F.col("at") >= F.col("first")).alias("tallied"))
+                       F.count_if(F.col("arrival") >= F.col("first")).alias("tallied"))
                   .withColumn("seen", F.when(F.col("first").isNotNull(), F.col("tallied"))))
     items = counts.agg(
         F.count("*").alias("histogram_items"),

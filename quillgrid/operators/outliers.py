@@ -24,10 +24,10 @@ def exact_outliers(points: DataFrame, distance: float, neighbours: int) -> DataF
     """
     checks.whole("neighbours", neighbours)
     cells = cut(cell_histogram(points, distance))
-    sparse = neighbourhoods(cells).filter(F.col("n3") <= neighbours).select("i", "j")
-    total, largest = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    sparse = cut(neighbourhoods(cells).filter(F.col("n3") <= neighbours).select("i", "j"))
+    total, largest = (v or 0 for v in cells.agg(F.sum("n"), F.max("n")).first())
     hot = hot_cells(cells, total, largest)
-    candidates = cut(lookup(locate(points, distance), sparse, hot).select("id", "x", "y"))
+    candidates = cut(lookup(locate(points, distance), sparse, sparse.count(), hot).select("id", "x", "y"))
     return count_within(candidates, points, distance).filter(F.col("n") <= neighbours)
 
 

@@ -1,29 +1,32 @@
 """How many data points lie within a distance of each query point.
 
-Points are binned into cells a little wider than the distance, and pairs of adjacent
-cells are settled from the extents of their points: wholly in reach (the count of the
-cell is added), wholly out of reach (dropped), or open. An open pair with few point
-pairs is compared point by point. An open pair with many is split, both cells into
-4x4, and its parts are settled in the same way. Copies of one point have no extent and
-are always settled whole. So a cell that holds a third of all points never meets
-itself or a neighbour point by point, and every join key has a bounded number of rows.
+Points are binned into cells twice as wide as the distance, and pairs of adjacent cells
+are settled from the extents of their points: wholly in reach (the count of the cell is
+added), wholly out of reach (dropped), or open. An open pair with few point pairs is
+compared point by point. An open pair with many is split, both cells into 4x4, and its
+parts are settled in the same way. Copies of one point have no extent and are always
+settled whole. So a cell that holds a third of all points never meets itself or a
+neighbour point by point, and every join key has a bounded number of rows.
 """
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import checks
 from quillgrid.functions.geometry import (
     box, cell_index, extent, farthest_between, nearest_between, point_box, squared_distance)
-from quillgrid.plans.hot import hot_cells, lookup, outside_hot
+from quillgrid.plans.hot import BROADCAST_ROWS, hot_cells, lookup, outside_hot
 from quillgrid.plans.lineage import cut
 
-SLACK = 1 + 2.0 ** -10     # cells wider than the distance, whatever the rounding
-LEAF_PAIRS = 1024          # point pairs of two cells that are compared one by one
-SPLIT_BITS = 2             # 4x4 parts per split
-BROADCAST_ROWS = 200_000   # (point, cell) rows of 40 bytes sent to every executor
+WIDTH = 2             # of a cell, in distances: a disc then meets 3.8 cells, not 8.1
+LEAF_PAIRS = 1 << 16  # point pairs of two cells that are compared one by one; below HOT_FLOOR
+SPLIT_BITS = 2        # 4x4 parts per split
+DEEPEST = 26          # splits; the smallest parts are then the spacing of doubles
+TASK_TESTS = 1 << 24  # point pairs compared by one task
+MOST_TASKS = 100_000
+SCAN_TESTS = 100      # comparisons per point that a scan may take on
 
 
 def _locate(points: DataFrame, side: float) -> DataFrame:
@@ -68,11 +71,11 @@ def _parts(open_pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
             .join(parts(b, "b_"), ["b_up_i", "b_up_j"]))
 
 
-def _added(queries, data, pairs, leaf, rows, limit, hot_a, hot_b, every) -> DataFrame:
+def _added(queries, data, pairs, leaf, rows, tests, limit, cells, points, hot_a, hot_b, every) -> DataFrame:
     """Rows ``(id, x, y, n)`` to be summed: one level's settled and leaf pairs."""
     base = (pairs.filter("whole").groupBy("a_i", "a_j").agg(F.sum("b_n").alias("n"))
             .select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), "n"))
-    whole = lookup(queries, base, hot_a, "left" if every else "inner")
+    whole = lookup(queries, base, cells, hot_a, "left" if every else "inner")
     whole = whole.select("id", "x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
     if rows == 0:
@@ -82,19 +85,30 @@ def _added(queries, data, pairs, leaf, rows, limit, hot_a, hot_b, every) -> Data
     facing = (outside_hot(queries, hot_a).join(leaves, ["i", "j"])
               .filter(nearest_between(point_box(F.col("x"), F.col("y")), box("b_")) <= F.lit(limit))
               .select("id", "x", "y", F.col("b_i").alias("i"), F.col("b_j").alias("j")))
-    if rows <= BROADCAST_ROWS:
-        facing = F.broadcast(facing)
     other = outside_hot(data, hot_b).select("i", "j", F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+    if rows <= BROADCAST_ROWS and tests <= SCAN_TESTS * points:
+        facing = F.broadcast(facing)
+    else:
+        # by the comparisons to make: the bytes, which size shuffles otherwise, say little
+        tasks = max(_tasks(queries.sparkSession), min(MOST_TASKS, int(tests / TASK_TESTS)))
+        facing, other = facing.repartition(tasks, "i", "j"), other.repartition(tasks, "i", "j")
     d2 = squared_distance(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"))
-    close = (other.join(facing, ["i", "j"]).filter(d2 <= F.lit(limit))
-             .groupBy("id", "x", "y").agg(F.count("*").alias("n")))
-    return whole.unionByName(close)
+    close = other.join(facing, ["i", "j"]).filter(d2 <= F.lit(limit))
+    return whole.unionByName(close.select("id", "x", "y", F.lit(1).cast("long").alias("n")))
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
+class _Size:
+    """What a level has to know about its cells before the next plan is chosen."""
 
-def _size(cells: DataFrame) -> tuple[int, int, float]:
-    far = F.greatest(*(F.abs(c) for c in ("x_lo", "x_hi", "y_lo", "y_hi")))
-    row = cells.agg(F.sum("n"), F.max("n"), F.max(far)).first()
-    return row[0] or 0, row[1] or 0, row[2] or 0.0
+    def __init__(self, cells: DataFrame):
+        far = F.greatest(*(F.abs(c) for c in ("x_lo", "x_hi", "y_lo", "y_hi")))
+        row = cells.agg(F.count("*"), F.sum("n"), F.max("n"), F.max(far)).first()
+        self.cells, self.points, self.largest, self.reach = (v or 0 for v in row)
+        self.hot = hot_cells(cells, self.points, self.largest)
 
 
 def count_within(queries: DataFrame, data: DataFrame, distance: float) -> DataFrame:
@@ -105,17 +119,17 @@ def count_within(queries: DataFrame, data: DataFrame, distance: float) -> DataFr
     while the plan is built.
     """
     checks.positive("distance", distance)
-    limit, side, same = distance * distance, distance * SLACK, queries is data
+    limit, side, same = distance * distance, distance * WIDTH, queries is data
     a_points = _locate(queries, side)
     b_points = a_points if same else _locate(data, side)
     b_cells = _cells(b_points)
     a_cells = b_cells if same else _cells(a_points)
-    total, b_most, reach = _size(b_cells)
-    a_total, a_most, a_reach = (total, b_most, reach) if same else _size(a_cells)
-    bits = math.log2(max(reach, a_reach, side) / side)
+    b_size = _Size(b_cells)
+    a_size = b_size if same else _Size(a_cells)
+    bits = math.log2(max(b_size.reach, a_size.reach, side) / side)
     if bits > 40:
         raise ValueError("distance is too small against the coordinates for double precision")
-    deepest = int((52 - bits) // SPLIT_BITS)
+    deepest = min(DEEPEST, int((52 - bits) // SPLIT_BITS))
 
     sums, level = [], 0
     pairs = cut(_settle(_adjacent(a_cells, b_cells), limit))
@@ -123,28 +137,28 @@ def count_within(queries: DataFrame, data: DataFrame, distance: float) -> DataFr
         is_open = ~F.col("whole")
         leaf = is_open if level == deepest else is_open & (F.col("work") <= LEAF_PAIRS)
         heavy = pairs.filter(is_open & ~leaf)
-        splits, rows = pairs.agg(F.count_if(is_open & ~leaf), F.sum(F.when(leaf, F.col("a_n")))).first()
-        hot_a = hot_cells(a_cells, a_total, a_most)
-        hot_b = hot_cells(b_cells, total, b_most)
-        sums.append(_added(a_points, b_points, pairs, leaf, rows or 0, limit,
-                           hot_a if level < deepest else None, hot_b if level < deepest else None,
-                           level == 0))
+        splits, rows, tests = pairs.agg(F.count_if(is_open & ~leaf), F.sum(F.when(leaf, F.col("a_n"))),
+                                        F.sum(F.when(leaf, F.col("work")))).first()
+        a_hot, b_hot = (None, None) if level == deepest else (a_size.hot, b_size.hot)
+        sums.append(_added(a_points, b_points, pairs, leaf, rows or 0, tests or 0, limit,
+                           a_size.cells, b_size.points, a_hot, b_hot, level == 0))
         if splits == 0:
             break
         if level == 0:  # deeper levels read the points of the split cells only
-            def inside(points, hot, side_of):
-                names = heavy.select(F.col(side_of + "i").alias("i"), F.col(side_of + "j").alias("j"))
-                return cut(lookup(points, names.distinct(), hot).select("id", "x", "y"))
-            a_dense = inside(a_points, hot_a, "a_")
-            b_dense = a_dense if same else inside(b_points, hot_b, "b_")
+            def inside(points, size, side_of):
+                names = cut(heavy.select(F.col(side_of + "i").alias("i"), F.col(side_of + "j").alias("j"))
+                            .distinct())
+                return cut(lookup(points, names, size.cells, size.hot).select("id", "x", "y"))
+            a_dense = inside(a_points, a_size, "a_")
+            b_dense = a_dense if same else inside(b_points, b_size, "b_")
         level += 1
         side /= 2 ** SPLIT_BITS
         a_points = _locate(a_dense, side)
         b_points = a_points if same else _locate(b_dense, side)
         b_cells = _cells(b_points)
         a_cells = b_cells if same else _cells(a_points)
-        b_most = b_cells.agg(F.max("n")).first()[0]
-        a_most = b_most if same else a_cells.agg(F.max("n")).first()[0]
+        b_size = _Size(b_cells)
+        a_size = b_size if same else _Size(a_cells)
         pairs = cut(_settle(_parts(heavy, a_cells, b_cells), limit))
 
     rows = sums[0]

@@ -1,4 +1,4 @@
-"""Item streams as ``(at, item)``: ``at`` counts arrivals from 0.
+"""Item streams as ``(arrival, item)``: ``arrival`` counts arrivals from 0.
 
 A table that numbers its rows from 0 keeps that column as it is, so that "the first n
 arrivals" reaches the scan as a plain comparison and later row groups are skipped.
@@ -10,29 +10,33 @@ from pyspark.sql import functions as F
 
 from quillgrid.plans.lineage import cut
 
+ROW_BITS = 33  # of monotonically_increasing_id
 
-def items(df: DataFrame, item: str | Column, at: str | Column) -> DataFrame:
+
+def items(df: DataFrame, item: str | Column, arrival: str | Column) -> DataFrame:
     """Batch or streaming frame with the arrival number in a column."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    return df.select(col(at).cast("long").alias("at"), col(item).cast("long").alias("item"))
+    return df.select(col(arrival).cast("long").alias("arrival"), col(item).cast("long").alias("item"))
 
 
 def number_arrivals(df: DataFrame, item: str, order: list[str]) -> DataFrame:
     """Number the rows 0, 1, ... along ``order`` where no such column exists.
 
-    ``order`` must be a total order. Rows are range-partitioned by it, counted per
-    part, and numbered inside each part from the part's offset, so no task sees more
-    than its range. The ranges are sampled at run time; the cut keeps the counts and
-    the numbering on the same ranges even if executors are lost in between.
+    ``order`` must be a total order. Rows are range-partitioned and sorted by it, and
+    each takes its place in its part plus the rows of the parts before, so no task sees
+    more than its range. The ranges are sampled at run time; the cut keeps both steps on
+    the same ranges and the rows in place even if executors are lost in between.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(df.select(F.col(item).cast("long").alias("item"), *order)
-                 .repartitionByRange(tasks, *order)
-                 .withColumn("part", F.spark_partition_id()))
+                 .repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("item"))
+    # the upper bits number the part, the lower ones the row inside it
+    placed = placed.withColumn("mark", F.monotonically_increasing_id()).select(
+        "item", F.shiftright("mark", ROW_BITS).alias("part"),
+        F.col("mark").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("nth"))
     # one row per part: the window and the broadcast hold at most `tasks` rows
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (placed.groupBy("part").agg(F.count("*").alias("rows"))
                .select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skipped")))
-    in_part = F.row_number().over(W.partitionBy("part").orderBy(*order))
-    return (placed.withColumn("nth", in_part).join(F.broadcast(offsets), "part")
-            .select((F.col("skipped") + F.col("nth") - 1).alias("at"), "item"))
+    return placed.join(F.broadcast(offsets), "part").select(
+        (F.col("skipped") + F.col("nth")).alias("arrival"), "item")

@@ -16,14 +16,14 @@ from quillgrid.sources.items import items
 STICKY = "item long, first long, n long"
 
 
-def read_items(spark: SparkSession, folder: str, item: str, at: str, glob: str = "*.parquet",
+def read_items(spark: SparkSession, folder: str, item: str, arrival: str, glob: str = "*.parquet",
                files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as a stream of ``(at, item)``."""
+    """Parquet files as a stream of ``(arrival, item)``."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return items(reader.parquet(folder), item, at)
+    return items(reader.parquet(folder), item, arrival)
 
 
 def _partition(table: str, batch_id: int) -> str:
@@ -59,8 +59,8 @@ def stream_reservoir(stream: DataFrame, f: Frequency, table: str, checkpoint: st
 
 
 def read_reservoir(spark: SparkSession, table: str) -> DataFrame:
-    return (spark.read.schema("slot long, item long, at long").parquet(table)
-            .groupBy("slot").agg(F.max_by("item", "at").alias("item"), F.max("at").alias("at")))
+    return (spark.read.schema("slot long, item long, arrival long").parquet(table)
+            .groupBy("slot").agg(F.max_by("item", "arrival").alias("item"), F.max("arrival").alias("arrival")))
 
 
 def stream_sticky(stream: DataFrame, f: Frequency, table: str, checkpoint: str) -> StreamingQuery:
@@ -81,7 +81,7 @@ def stream_sticky(stream: DataFrame, f: Frequency, table: str, checkpoint: str)
         fresh = first_tracked(batch, f).withColumn("n", F.lit(0).cast("long"))
         tracked = (before.unionByName(fresh.select(before.columns))
                    .groupBy("item").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
-        seen = (batch.join(bounded(tracked.select("item", "first"), f), "item").filter("at >= first")
+        seen = (batch.join(bounded(tracked.select("item", "first"), f), "item").filter("arrival >= first")
                 .groupBy("item").agg(F.count("*").alias("more")))
         after = tracked.join(seen, "item", "left").select(
             "item", "first", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
