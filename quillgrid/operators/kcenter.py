@@ -6,6 +6,7 @@ A traversal reads its points once per center and brings only that center to the
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from quillgrid.functions.geometry import nearest_center_struct, nearest_squared,
 from quillgrid.operators.grid import approximate_outliers
 from quillgrid.plans.lineage import cut
 
-CENTERS = "rank int, id long, x double, y double"
+CENTERS = pa.schema({"rank": pa.int32(), "id": pa.int64(), "x": pa.float64(), "y": pa.float64()})
 COLLECTED_GROUPS = 10_000   # one row per group and round on the driver
 BROADCAST_GROUPS = 100_000  # one row per group on every executor
 BLOCK_ROWS = 1_000_000      # points of one block in a Python worker, 24 bytes each
@@ -53,8 +54,10 @@ def farthest_first(points: DataFrame, k: int, seed: int | None = None) -> Center
 
 
 def _table(points: DataFrame, centers: Centers) -> DataFrame:
-    rows = [(rank, *center) for rank, center in enumerate(centers)]
-    return points.sparkSession.createDataFrame(rows, CENTERS)
+    ids, xs, ys = zip(*centers) if centers else ((), (), ())
+    columns = (range(len(ids)), ids, xs, ys)
+    return points.sparkSession.createDataFrame(
+        pa.table([pa.array(c, f.type) for c, f in zip(columns, CENTERS)], schema=CENTERS))
 
 
 def global_centers(points: DataFrame, k: int, seed: int | None = None) -> DataFrame:
@@ -78,7 +81,7 @@ def coreset(points: DataFrame, k: int) -> DataFrame:
         def settle(rows):
             if groups > COLLECTED_GROUPS:
                 return cut(rows)
-            return held.sparkSession.createDataFrame(rows.collect(), rows.schema)
+            return held.sparkSession.createDataFrame(rows.toArrow())
 
         def small(rows):
             return F.broadcast(rows) if groups <= BROADCAST_GROUPS else rows
@@ -86,10 +89,11 @@ def coreset(points: DataFrame, k: int) -> DataFrame:
         center = F.struct("id", "x", "y")
         found = settle(held.join(small(lowest), ["g", "id"]).select("g", F.array(center).alias("found")))
         for size in range(1, k):
-            # groups that ran out of points have shorter arrays: NULL is left out by least
-            d2 = [squared_distance(F.col("x"), F.col("y"), F.get("found", i).x, F.get("found", i).y)
-                  for i in map(F.lit, range(size))]
-            scored = held.join(small(found), "g").select(
+            # flat columns keep the generated code short; a group that ran out of points
+            # has fewer centers, and least leaves the missing ones out
+            flat = [F.get("found", F.lit(i))[c].alias(f"{c}{i}") for i in range(size) for c in "xy"]
+            d2 = [squared_distance(F.col("x"), F.col("y"), F.col(f"x{i}"), F.col(f"y{i}")) for i in range(size)]
+            scored = held.join(small(found.select("g", *flat)), "g").select(
                 "g", "id", "x", "y", (d2[0] if size == 1 else F.least(*d2)).alias("d2"))
             best = scored.groupBy("g").agg(F.max("d2").alias("best")).filter("best > 0")
             # two passes of hash aggregation; max_by of a struct would sort all rows by group
