@@ -72,7 +72,10 @@ def _parts(open_pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _added(queries, data, pairs, leaf, rows, tests, limit, cells, points, hot_a, hot_b, every) -> DataFrame:
-    """Rows ``(id, x, y, n)`` to be summed: one level's settled and leaf pairs."""
+    """Rows ``(id, x, y, n)`` to be summed: one level's settled and leaf pairs.
+
+    The place of a point is given once or more, and is NULL in the rows of its pairs.
+    """
     base = (pairs.filter("whole").groupBy("a_i", "a_j").agg(F.sum("b_n").alias("n"))
             .select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), "n"))
     whole = lookup(queries, base, cells, hot_a, "left" if every else "inner")
@@ -94,7 +97,9 @@ def _added(queries, data, pairs, leaf, rows, tests, limit, cells, points, hot_a,
         facing, other = facing.repartition(tasks, "i", "j"), other.repartition(tasks, "i", "j")
     d2 = squared_distance(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"))
     close = other.join(facing, ["i", "j"]).filter(d2 <= F.lit(limit))
-    return whole.unionByName(close.select("id", "x", "y", F.lit(1).cast("long").alias("n")))
+    nowhere = F.lit(None).cast("double")
+    return whole.unionByName(
+        close.select("id", nowhere.alias("x"), nowhere.alias("y"), F.lit(1).cast("long").alias("n")))
 
 
 def _tasks(spark: SparkSession) -> int:
@@ -164,4 +169,5 @@ def count_within(queries: DataFrame, data: DataFrame, distance: float) -> DataFr
     rows = sums[0]
     for more in sums[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("id", "x", "y").agg(F.sum("n").alias("n"))
+    # the id alone as key: this aggregate takes in a row for each pair of points in reach
+    return rows.groupBy("id").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.sum("n").alias("n"))

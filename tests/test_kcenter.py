@@ -48,9 +48,10 @@ def test_fifteen_points(plane):
     centers = kc.farthest_first(points, 4)
     assert ids(centers) == [0, 14, 5, 10]
     assert round(kc.covering_radius(points, centers).first().radius, 8) == 1.17136672
-    assert kc.coreset(kc.by_id(points, 3), 3).count() == 6 + 3
-    by_parts = kc.coreset_centers(points, 3, 3)
-    assert len(by_parts) == 3
+    assert kc.coreset(kc.by_id(points, 2), 3).count() == 6
+    by_parts = kc.coreset_centers(points, 3, 2)
+    assert ids(by_parts) == [0, 14, 4]
+    assert round(kc.covering_radius(points, by_parts).first().radius, 8) == 1.84610401
 
 
 @pytest.mark.parametrize("k", [1, 2, 6])
