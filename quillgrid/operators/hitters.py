@@ -70,9 +70,13 @@ def is_frequent(n: Column, f: Frequency) -> Column:
     return n / F.lit(f.n) >= F.lit(f.phi)
 
 
+def frequent(counts: DataFrame, f: Frequency) -> DataFrame:
+    """The frequent rows of a histogram, ascending; never more than 1/phi."""
+    return counts.filter(is_frequent(F.col("n"), f)).orderBy("item")
+
+
 def frequent_exact(stream: DataFrame, f: Frequency) -> DataFrame:
-    """``(item, n)``, ascending; never more than 1/phi rows."""
-    return histogram(stream, f).filter(is_frequent(F.col("n"), f)).orderBy("item")
+    return frequent(histogram(stream, f), f)
 
 
 def reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
@@ -89,8 +93,13 @@ def reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
         F.max_by("item", "arrival").alias("item"), F.max("arrival").alias("arrival"))
 
 
+def sampled(sample: DataFrame) -> DataFrame:
+    """The estimate a reservoir makes: its distinct items, however often they occur."""
+    return sample.select("item").distinct().orderBy("item")
+
+
 def frequent_reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
-    return reservoir(stream, f).select("item").distinct().orderBy("item")
+    return sampled(reservoir(stream, f))
 
 
 def first_tracked(arrivals: DataFrame, f: Frequency) -> DataFrame:
@@ -131,47 +140,55 @@ def sticky(stream: DataFrame, f: Frequency) -> DataFrame:
     arrivals = first_arrivals(stream, f.n)
     if f.tracked > BROADCAST_TRACKED:
         return _by_blocks(arrivals, f)
-    tracked = bounded(first_tracked(arrivals, f), f)
-    return (arrivals.join(tracked, "item").filter("arrival >= first")
+    return (arrivals.join(bounded(first_tracked(arrivals, f), f), "item").filter("arrival >= first")
             .groupBy("item").agg(F.count("*").alias("n")))
 
 
+def above_boundary(tallies: DataFrame, f: Frequency) -> DataFrame:
+    """The estimate of a sticky table: rows with a count of at least (phi - epsilon) n."""
+    return tallies.filter(F.col("n") >= F.lit(f.boundary)).orderBy("item")
+
+
 def frequent_sticky(stream: DataFrame, f: Frequency) -> DataFrame:
-    return sticky(stream, f).filter(F.col("n") >= F.lit(f.boundary)).orderBy("item")
+    return above_boundary(sticky(stream, f), f)
 
 
-def frequent_flags(stream: DataFrame, f: Frequency) -> DataFrame:
-    """``(method, item, is_true)``: which estimates are frequent indeed."""
+def flags(counts: DataFrame, sample: DataFrame, tallies: DataFrame, f: Frequency) -> DataFrame:
+    """``(method, item, is_true)``: which estimates are frequent indeed.
+
+    Takes a histogram, a reservoir and a sticky table, from a batch or left by streams.
+    """
     def named(df, method):
         return df.select(F.lit(method).alias("method"), "item")
-    estimates = named(frequent_reservoir(stream, f), "reservoir").unionByName(
-        named(frequent_sticky(stream, f), "sticky"))
+    estimates = named(sampled(sample), "reservoir").unionByName(
+        named(above_boundary(tallies, f), "sticky"))
     # at most 1/phi rows
-    truth = F.broadcast(frequent_exact(stream, f).select("item", F.lit(True).alias("found")))
+    truth = F.broadcast(frequent(counts, f).select("item", F.lit(True).alias("found")))
     return estimates.join(truth, "item", "left").select(
         "method", "item", F.col("found").isNotNull().alias("is_true"))
 
 
-def report(stream: DataFrame, f: Frequency) -> DataFrame:
+def sizes(counts: DataFrame, sample: DataFrame, tallies: DataFrame, f: Frequency) -> DataFrame:
     """Sizes of the three structures and the number of answers of each, in one row."""
-    arrivals = first_arrivals(stream, f.n)
-    if f.rate >= 1 or f.tracked > BROADCAST_TRACKED:
-        counts = histogram(stream, f).join(sticky(stream, f).withColumnRenamed("n", "seen"), "item", "left")
-    else:
-        counts = (arrivals.join(bounded(first_tracked(arrivals, f), f), "item", "left").groupBy("item")
-                  .agg(F.count("*").alias("n"), F.max("first").alias("first"),
-                       F.count_if(F.col("arrival") >= F.col("first")).alias("tallied"))
-                  .withColumn("seen", F.when(F.col("first").isNotNull(), F.col("tallied"))))
-    items = counts.agg(
-        F.count("*").alias("histogram_items"),
-        F.count_if(is_frequent(F.col("n"), f)).alias("true_items"),
-        F.count("seen").alias("sticky_items"),
-        F.count_if(F.col("seen") >= F.lit(f.boundary)).alias("sticky_estimates"))
-    sample = reservoir(stream, f).agg(
-        F.count("*").alias("reservoir_rows"), F.count_distinct("item").alias("reservoir_estimates"))
-    names = items.columns + sample.columns
-    def filled(df):
-        return df.select(*(F.col(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in names))
-    return (filled(items).unionByName(filled(sample)).agg(*(F.sum(c).alias(c) for c in names))
-            .select("*", F.lit(f.sample_size).cast("long").alias("m"),
-                    F.lit(f.tracked).alias("r"), F.lit(f.rate).alias("rate")))
+    parts = [
+        counts.agg(F.count("*").alias("histogram_items"),
+                   F.count_if(is_frequent(F.col("n"), f)).alias("true_items")),
+        sample.agg(F.count("*").alias("reservoir_rows"),
+                   F.count_distinct("item").alias("reservoir_estimates")),
+        tallies.agg(F.count("*").alias("sticky_items"),
+                    F.count_if(F.col("n") >= F.lit(f.boundary)).alias("sticky_estimates")),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*(F.sum(c).alias(c) for c in rows.columns)).select(
+        "*", F.lit(f.sample_size).cast("long").alias("m"), F.lit(f.tracked).alias("r"),
+        F.lit(f.rate).alias("rate"))
+
+
+def frequent_flags(stream: DataFrame, f: Frequency) -> DataFrame:
+    return flags(histogram(stream, f), reservoir(stream, f), sticky(stream, f), f)
+
+
+def report(stream: DataFrame, f: Frequency) -> DataFrame:
+    return sizes(histogram(stream, f), reservoir(stream, f), sticky(stream, f), f)

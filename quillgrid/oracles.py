@@ -144,6 +144,15 @@ def oracle_sql() -> dict[str, str]:
     line_cells = f"with {L}, {_cells('l', _d(cell_side(q.LINE_DISTANCE)))}"
     salt = "floor(" + _uniform("0:", "concat_ws('|', doc_id, line_no, word)") + f" * {q.SALTS})::bigint"
     embedded = _d(cell_side(e["distance"]))
+    flags = f"""with {V} select method, item, item in (select item from truth) as is_true from (
+                              select distinct 'reservoir' as method, item from reservoir
+                              union all select 'sticky', item from guessed)"""
+    sizes = f"""with {V} select
+            (select count(*) from histogram) as histogram_items, (select count(*) from truth) as true_items,
+            (select count(*) from sticky) as sticky_items, (select count(*) from guessed) as sticky_estimates,
+            (select count(*) from reservoir) as reservoir_rows,
+            (select count(distinct item) from reservoir) as reservoir_estimates,
+            {M}::bigint as m, {_d(R)} as r, {_d(R)} / total::double as rate from total"""
     return {
         "doc_lines": f"with {LINES} select doc_id, line_no, text from lines",
         "count_docs": "select count(*) as documents from documents",
@@ -203,13 +212,8 @@ def oracle_sql() -> dict[str, str]:
         "sticky_counts": f"with {V} select item, n from sticky",
         "sticky_counts_stream": f"with {V} select item, n from sticky",
         "frequent_sticky": f"with {V} select item, n from guessed order by item",
-        "frequent_flags": f"""with {V} select method, item, item in (select item from truth) as is_true from (
-                              select distinct 'reservoir' as method, item from reservoir
-                              union all select 'sticky', item from guessed)""",
-        "heavy_hitter_report": f"""with {V} select
-            (select count(*) from histogram) as histogram_items, (select count(*) from truth) as true_items,
-            (select count(*) from sticky) as sticky_items, (select count(*) from guessed) as sticky_estimates,
-            (select count(*) from reservoir) as reservoir_rows,
-            (select count(distinct item) from reservoir) as reservoir_estimates,
-            {M}::bigint as m, {_d(R)} as r, {_d(R)} / total::double as rate from total""",
+        "frequent_flags": flags,
+        "frequent_flags_stream": flags,
+        "heavy_hitter_report": sizes,
+        "heavy_hitter_report_stream": sizes,
     }

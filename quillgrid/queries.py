@@ -84,13 +84,13 @@ def _streamed(spark, sf, start, read) -> DataFrame:
 
 
 def stream_items(spark, sf):
-    return _streamed(spark, sf, streams.append, lambda s, t: s.read.parquet(t))
+    return _streamed(spark, sf, streams.append, streams.read_appended)
 
 
 def stream_prefix(spark, sf):
     n = half(spark, sf)
     return _streamed(spark, sf, lambda v, t, c: streams.append(hitters.first_arrivals(v, n), t, c),
-                     lambda s, t: s.read.parquet(t))
+                     streams.read_appended)
 
 
 def _frequent_stream(start, read):
@@ -100,6 +100,21 @@ def _frequent_stream(start, read):
     return run
 
 
+def _from_streams(summary):
+    """Histogram, reservoir and sticky table kept by three streams at once, then summed up."""
+    def run(spark, sf):
+        f = frequency(spark, sf)
+        source = streams.read_items(spark, sf, "user_id", "event_id", "events.parquet")
+        to = [fresh_path(spark, "table") for _ in range(3)]
+        started = [start(source, f, table, fresh_path(spark, "progress")) for start, table in zip(
+            (streams.stream_histogram, streams.stream_reservoir, streams.stream_sticky), to)]
+        for query in started:
+            query.awaitTermination()
+        return summary(streams.read_histogram(spark, to[0]), streams.read_reservoir(spark, to[1]),
+                       streams.read_sticky(spark, to[2]), f)
+    return run
+
+
 def _on_items(operator):
     return lambda spark, sf: operator(event_items(spark, sf), frequency(spark, sf))
 
@@ -181,5 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sticky_counts_stream": _frequent_stream(streams.stream_sticky, streams.read_sticky),
         "frequent_sticky": _on_items(hitters.frequent_sticky),
         "frequent_flags": _on_items(hitters.frequent_flags),
+        "frequent_flags_stream": _from_streams(hitters.flags),
         "heavy_hitter_report": _on_items(hitters.report),
+        "heavy_hitter_report_stream": _from_streams(hitters.sizes),
     }

@@ -30,14 +30,25 @@ def _partition(table: str, batch_id: int) -> str:
     return f"{table}/batch_id={batch_id}"
 
 
+def _prepare(spark: SparkSession, table: str, schema) -> None:
+    """Give a new table its schema, so that it can be read before anything arrived."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(_partition(table, -1))
+
+
 def append(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Write a stateless stream as it comes."""
     return (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start(table))
 
 
+def read_appended(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.schema("arrival long, item long").parquet(table)
+
+
 def updates(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Write the rows of an aggregate that a micro-batch changed."""
+    _prepare(stream.sparkSession, table, stream.schema)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_partition(table, batch_id))
     return (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -72,9 +83,7 @@ def stream_sticky(stream: DataFrame, f: Frequency, table: str, checkpoint: str)
     must be in order. The table after a batch depends only on the one before and on
     the batch, which makes repeated batches harmless.
     """
-    spark = stream.sparkSession
-    # what batch 0 starts from; left alone when a query resumes
-    spark.createDataFrame([], STICKY).write.mode("ignore").parquet(_partition(table, -1))
+    _prepare(stream.sparkSession, table, STICKY)  # what batch 0 starts from
 
     def step(batch: DataFrame, batch_id: int) -> None:
         before = _state(batch.sparkSession, table, batch_id - 1)

@@ -68,7 +68,7 @@ def test_against_replay(arriving, name, monkeypatch):
     flags = {(r.method, r.item): r.is_true for r in h.frequent_flags(df, f).collect()}
     assert flags == {("reservoir", i): i in truth for i in sample.values()} | {
         ("sticky", i): i in truth for i in guessed}
-    want = (len(counts), len(truth), len(table), len(guessed), len(sample), len(set(sample.values())),
+    want = (len(counts), len(truth), len(sample), len(set(sample.values())), len(table), len(guessed),
             f.sample_size, f.tracked, f.rate)
     assert tuple(h.report(df, f).first()) == want
     # tables too large to broadcast

@@ -54,8 +54,9 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
         assert got == sorted(h.sticky(q.event_items(spark, MIDDLE), F5000).collect())
 
 
-def test_a_prefix_without_tracked_items(spark, tmp_path):
+def test_nothing_arrived_in_time(spark, tmp_path):
     folder, to = str(tmp_path / "in"), str(tmp_path / "out")
     feed(spark, folder, 1, 2)  # arrivals from 5000 on: all beyond n
-    run(spark, streams.stream_sticky, folder, to, str(tmp_path / "progress"))
-    assert streams.read_sticky(spark, to).count() == 0
+    for name, (start, read, _) in JOBS.items():
+        run(spark, start, folder, to + name, str(tmp_path / name))
+        assert read(spark, to + name).count() == 0
