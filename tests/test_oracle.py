@@ -5,10 +5,12 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from quillgrid.oracles import oracle_sql
+from quillgrid.queries import queries
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries(), oracle_sql()
 WITHOUT_SQL = {"kcenter_coreset_split", "kcenter_mr_split"}  # depend on where input splits fall
 
 
