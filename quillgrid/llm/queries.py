@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import decontaminate, packing, prefix_tokens
+from quillgrid.llm import decontaminate, odd_sketch, packing, prefix_tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op10_minhash_odd_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -33,7 +37,20 @@ WORD = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 
 def oracle_sql() -> dict[str, str]:
     n = decontaminate.WINDOW
+    size = odd_sketch.SHINGLE
     return {
+        "op10_minhash_odd_sketch": rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[k:k + {size - 1}], ' ') as line
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) as k from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.line = b.line and a.doc_id <> b.doc_id group by all),
+e as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b
+      where {odd_sketch.OF} * c >= {odd_sketch.SIMILAR} * (x.n + y.n - c)),
+r as (select doc_id, doc_id as c from d union select r.doc_id, e.b from r join e on r.c = e.a)
+select d.doc_id, coalesce(n, 0) as n_shingles, min(c) as component_id, d.doc_id = min(c) as kept
+from d left join n using (doc_id) join r on r.doc_id = d.doc_id group by d.doc_id, n""",
         "op9_decontaminate": f"""
 with d as (select doc_id, {WORD} as w from documents),
 b as (select item_id, {WORD} as w from benchmark),
