@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import decontaminate, odd_sketch, packing, prefix_tokens
+from quillgrid.llm import decontaminate, odd_sketch, packing, prefix_tokens, surrogates
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return surrogates.replaced(table(spark, sf, "documents").select("doc_id", "text"), count="n_entities")
+
+
 def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
