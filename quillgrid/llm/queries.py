@@ -4,13 +4,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import decontaminate, odd_sketch, packing, prefix_tokens, surrogates
+from quillgrid.llm import decontaminate, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality.graded(docs, quality.model(docs, table(spark, sf, "labels")))
+
+
 def op3_prefix_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_tokens.token_budget(table(spark, sf, "documents"))
 
@@ -19,6 +24,11 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op5_toxicity_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity.scored(docs, toxicity.model(docs, table(spark, sf, "labels")))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return surrogates.replaced(table(spark, sf, "documents").select("doc_id", "text"), count="n_entities")
 

@@ -44,7 +44,7 @@ def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, list
 
 TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
          "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
-         "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+         "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}
 
 
 def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
