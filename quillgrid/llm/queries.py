@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import decontaminate, licenses, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
+from quillgrid.llm import decontaminate, html_text, licenses, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_toxicity_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.model(docs, table(spark, sf, "labels")))
 
 
+def op6_html_text_density(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf, "pages"))
+
+
 def op7_license_templates(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf, "documents"))
 
