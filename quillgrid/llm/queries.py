@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import decontaminate, html_text, licenses, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
+from quillgrid.llm import bm25, decontaminate, html_text, licenses, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_quality_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     return quality.graded(docs, quality.model(docs, table(spark, sf, "labels")))
 
 
+def op2_bm25_wand(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.similar_documents(table(spark, sf, "documents"))
+
+
 def op3_prefix_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_tokens.token_budget(table(spark, sf, "documents"))
 
