@@ -15,6 +15,7 @@ Nulls: a null text is empty and has 0 tokens.
 
 import functools
 import re
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +31,12 @@ BLANK = "▁"                 # how the vocabulary writes a blank
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Entries of a worker's caches before they are emptied, and characters of the longest word
 #: that enters them. Both change the time only.
-CACHED, LONGEST = 150_000, 48
+CACHED, LONGEST = 300_000, 48
+
+#: Of a prefix of a word: its last token, its count, whether its first token is a bare blank, and its differences.
+State = tuple[str, int, bool, bytes]
+START: State = ("", 0, False, b"")
+SIGNED = [k.to_bytes(1, "little", signed=True) for k in [*range(128), *range(-128, 0)]]     # by k, also below 0
 
 
 class Prefixes:
@@ -46,19 +52,22 @@ class Prefixes:
         self.width = max(map(len, self.rank))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
-        self.states: dict[str, tuple[str, int, bool]] = {"": ("", 0, False)}
+        self.states: dict[str, State] = {"": START}
         self.chunks: dict[str, bytes] = {}
         self.runs = [0]
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text: adjacent ones merge, lowest rank first, leftmost first."""
-        out = list(text)
-        while len(out) > 1:
-            best = min(range(len(out) - 1), key=lambda k: (self.rank.get(out[k] + out[k + 1], np.inf), k))
-            if out[best] + out[best + 1] not in self.rank:
-                break
-            out[best:best + 2] = [out[best] + out[best + 1]]
-        return out
+        out, rank = list(text), self.rank
+        while True:
+            low, at = None, 0
+            for k in range(len(out) - 1):
+                here = rank.get(out[k] + out[k + 1])
+                if here is not None and (low is None or here < low):
+                    low, at = here, k
+            if low is None:
+                return out
+            out[at:at + 2] = [out[at] + out[at + 1]]
 
     def stands(self, before: str, last: str) -> bool:
         """Whether ``last`` can follow ``before``, which is empty at the start of a word."""
@@ -68,18 +77,43 @@ class Prefixes:
             self.pairs[before, last] = known
         return known
 
-    def step(self, word: str, end: int, state) -> tuple[str, int, bool]:
-        """The state of ``word[:end]``: last token, count, and whether its first token is a bare blank."""
+    def step(self, word: str, end: int, before: Callable[[int], State]) -> State:
+        """The state of ``word[:end]`` from those of shorter prefixes."""
+        rank, pairs = self.rank, self.pairs
         for size in range(1, min(end, self.width) + 1):
             token = word[end - size:end]
-            if size > 1 and token not in self.rank:
+            if token in rank:
+                cost = 1
+            elif size == 1:
+                cost = len(token.encode())
+            else:
                 continue
-            last, count, bare = state(end - size)
-            if self.stands(last, token):
-                cost = 1 if token in self.rank else len(token.encode())
-                return token, count + cost, bare if count else token == BLANK
+            last, count, bare = before(end - size)[:3]
+            fits = pairs.get((last, token))
+            if fits if fits is not None else self.stands(last, token):
+                return token, count + cost, bare if count else token == BLANK, b""
         raise AssertionError("a prefix has no last token")
 
+    def sweep(self, word: str) -> bytes:
+        """What each character of a word adds to the count, sharing the states of words that start alike."""
+        states = self.states
+        known = states.get(word)
+        if known is not None:
+            return known[3]
+        end = len(word) - 1
+        while (known := states.get(word[:end])) is None:
+            end -= 1
+        for end in range(end + 1, len(word) + 1):
+            made = self.step(word, end, lambda k: states[word[:k]])
+            known = states[word[:end]] = (*made[:3], known[3] + SIGNED[made[1] - known[1]])
+        return known[3]
+
+    def long_sweep(self, word: str) -> list[State]:
+        states = [START]
+        for end in range(1, len(word) + 1):
+            states.append(self.step(word, end, states.__getitem__))
+        return states
+
     def run(self, blanks: int) -> int:
         """Tokens of a run of blanks."""
         while len(self.runs) <= blanks:
@@ -88,23 +122,17 @@ class Prefixes:
 
     def deltas(self, chunk: str) -> bytes:
         """What each character of blanks and a word adds to the count, as signed bytes."""
+        if chunk[1:2] != BLANK and len(chunk) <= LONGEST:
+            return self.sweep(chunk)
+        # several blanks: the last goes to the word unless the word's first token is a bare blank
         rest = chunk.lstrip(BLANK)
         blanks = len(chunk) - len(rest)
-        counts = [self.run(k) for k in range(1, blanks)] if rest else [self.run(k) for k in range(1, blanks + 1)]
+        counts = [0, *(self.run(k) for k in range(1, blanks + (not rest)))]
         if rest:
-            word = BLANK + rest if blanks else rest
-            if len(word) <= LONGEST:
-                states = [self.states.get(word[:k]) for k in range(len(word) + 1)]
-                for end in range(1, len(word) + 1):
-                    if states[end] is None:
-                        states[end] = self.states[word[:end]] = self.step(word, end, states.__getitem__)
-            else:
-                states = [("", 0, False)]
-                for end in range(1, len(word) + 1):
-                    states.append(self.step(word, end, states.__getitem__))
-            more, joins = (self.run(blanks) - 1, self.run(blanks - 1)) if blanks else (0, 0)
-            counts += [n + (more if bare else joins) for _, n, bare in states[1:]]
-        return np.diff(np.array(counts, np.int64), prepend=0).astype(np.int8).tobytes()
+            joins, alone = self.run(max(0, blanks - 1)), self.run(blanks) - 1
+            for last, n, bare, _ in self.long_sweep(BLANK * (blanks > 0) + rest)[1:]:
+                counts.append(n + (alone if bare else joins))
+        return np.diff(counts).astype(np.int8).tobytes()
 
     def count(self, text: str) -> bytes:
         """Differences of the counts at the prefixes of a whole text; sum them up to get the counts.
@@ -116,7 +144,7 @@ class Prefixes:
         if len(self.chunks) > CACHED:
             self.chunks.clear()
         if len(self.states) > 4 * CACHED:
-            self.states = {"": ("", 0, False)}
+            self.states = {"": START}
         if len(self.pairs) > 4 * CACHED:
             self.pairs.clear()
         known, out = self.chunks, []
