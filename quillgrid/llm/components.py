@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.tables import stored
+from quillgrid.llm.tables import forget, stored
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -33,5 +33,6 @@ def roots(edges: DataFrame) -> DataFrame:
         # every node and its smaller neighbours go to the smallest of them
         small = large.join(low, "u")
         small = small.select("u", "low").unionByName(small.select(F.col("v").alias("u"), "low"))
-        edges = stored(_pairs(small, F.col("u"), F.col("low")), "edges")
+        old, edges = edges, stored(_pairs(small, F.col("u"), F.col("low")), "edges")
+        forget(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,8 +3,9 @@
 A document is the set of its 3-word shingles. Equal sets are one class. Each class has
 MinHash samples; bands of them put classes into buckets, and the samples folded into a
 parity bitmap (the Odd sketch) let the popcount of an XOR tell similar classes from others
-before their full sets are compared. A pair of similarity 0.85 meets in a band with
-1 - 2.5e-7, and passes the bitmap with more than 1 - 1e-5; more similar pairs are safer still.
+before their full sets are compared. A pair of similarity 0.85 meets in a band with 1 - 2.5e-7
+and passes the sketch with about 1 - 1e-7; more similar pairs are safer still. A second
+bitmap, of all shingles, rules out pairs that differ in too many, and errs never.
 
 A bucket of any size is worked off in rounds. In each, a few hubs are drawn from the
 members outside the bucket's largest component and compared with all members. Confirmed
@@ -27,18 +28,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.components import roots
-from quillgrid.llm.tables import stored
+from quillgrid.llm.tables import forget, stored
 from quillgrid.llm.text import LOWER_BYTES, per_batch, raw
 
 SHINGLE = 3
 SIMILAR, OF = 85, 100            # link: OF * intersection >= SIMILAR * union
 BANDS, ROWS, BITS = 26, 5, 256
+#: Bits of the parity bitmap of all shingles. The XOR of two has at most as many bits as the sets
+#: differ in shingles, so too many bits rule a link out for certain.
+ALL_BITS = 512
 SAMPLES = BANDS * ROWS
-#: Samples in which two sets may differ and still be compared: 4.5 deviations above what
+#: Samples in which two sets may differ and still be compared: 6 deviations above what
 #: sets of the least similarity have. Each differing sample flips two bits of the XOR.
-DIFFER = SAMPLES * (1 - SIMILAR / OF) + 4.5 * (SAMPLES * (1 - SIMILAR / OF) * SIMILAR / OF) ** 0.5
+DIFFER = SAMPLES * (1 - SIMILAR / OF) + 6 * (SAMPLES * (1 - SIMILAR / OF) * SIMILAR / OF) ** 0.5
 FLIPPED = round(BITS / 2 * (1 - exp(-4 * DIFFER / BITS))) + 3
-HUBS = (1, 4, 16, 64)            # hubs of a bucket in each round, the last for all further ones
+HUBS = (1, 16, 512)              # hubs of a bucket in each round, the last for all further ones
 CACHED = 500_000                 # words whose hashes a worker keeps; time only
 
 _draw = np.random.default_rng(11)
@@ -88,10 +92,15 @@ def bands(minima: np.ndarray) -> np.ndarray:
     return mixed((minima.reshape(BANDS, ROWS) * _BY_ROW).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
 
 
-def sketch(minima: np.ndarray) -> np.ndarray:
-    """The parity bitmap of the samples."""
-    bits = mixed(minima ^ _BY_SAMPLE) % np.uint64(BITS)
-    return np.packbits(np.bincount(bits.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+def parity(them: np.ndarray, bits: int) -> np.ndarray:
+    """The parity bitmap of hashes, as 64-bit integers."""
+    count = np.bincount((them % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
+
+
+def sketches(them: np.ndarray, minima: np.ndarray) -> np.ndarray:
+    """The Odd sketch of the samples, then the bitmap of all shingles."""
+    return np.concatenate([parity(mixed(minima ^ _BY_SAMPLE), BITS), parity(mixed(them), ALL_BITS)])
 
 
 def name_of(them: np.ndarray) -> bytes:
@@ -106,21 +115,28 @@ def signatures(docs: DataFrame) -> DataFrame:
         minima = [samples(s) for s in sets]
         return {"doc_id": batch.column("doc_id").cast(pa.int64()), "n": [len(s) for s in sets],
                 "cls": [name_of(s) for s in sets], "keys": [bands(m).view(np.int64) for m in minima],
-                "sketch": [sketch(m) for m in minima]}
+                "sketch": [sketches(t, m) for t, m in zip(sets, minima)]}
     return per_batch(docs.select("doc_id", "text"), made, "doc_id long,n long,cls binary,keys array<long>,sketch array<long>")
 
 
-def _differ(a: str, b: Column) -> Column:
-    """Popcount of the XOR of two bitmaps, in columns ``{a}0..`` and in a struct."""
-    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(b[f"{a}{k}"])) for k in range(1, BITS // 64)),
-               F.bit_count(F.col(f"{a}0").bitwiseXOR(b[f"{a}0"])))
+WORDS = [f"s{k}" for k in range((BITS + ALL_BITS) // 64)]
+
+
+def _may_link(h: Column) -> Column:
+    """Whether a member (in columns) and a hub (in a struct) of another component may be linked."""
+    flipped = lambda names: sum((F.bit_count(F.col(s).bitwiseXOR(h[s])) for s in names[1:]),
+                                F.bit_count(F.col(names[0]).bitwiseXOR(h[names[0]])))
+    low, high = F.least(h["n"], F.col("n")), F.greatest(h["n"], F.col("n"))
+    both = (OF - SIMILAR) * (h["n"] + F.col("n"))
+    return ((h["comp"] != F.col("comp")) & (OF * low >= SIMILAR * high) & (flipped(WORDS[:BITS // 64]) <= FLIPPED)
+            & ((OF + SIMILAR) * flipped(WORDS[BITS // 64:]) <= both))
 
 
 def _members(classes: DataFrame) -> DataFrame:
     """``key, cls, n, s0..`` for buckets of at least two classes."""
     spread = classes.select("cls", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    bitmap = [F.col("sketch")[k].alias(f"s{k}") for k in range(BITS // 64)]
+    bitmap = [F.col("sketch")[k].alias(s) for k, s in enumerate(WORDS)]
     return spread.join(shared, "key").join(classes.select("cls", "n", *bitmap), "cls")
 
 
@@ -162,31 +178,31 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
         free = at_work.filter("comp <> most")
         if done is not None:
             free = free.join(done, ["key", "cls"], "left_anti")
-        every = F.struct("cls", "comp", "n", *(f"s{k}" for k in range(BITS // 64)))
-        drawn = stored(free.groupBy("key", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(hubs)).alias("lot"))
-                       .agg(F.min(every).alias("hub")), "hubs")
+        lot = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(hubs)).alias("lot")
+        drawn = stored(free.groupBy("key", lot).agg(F.min(F.struct("cls", "comp", "n", *WORDS)).alias("hub")), "hubs")
         if drawn.isEmpty():
             return labels
         # at most `hubs` of them for each bucket
         drawn_lists = drawn.groupBy("key").agg(F.collect_list("hub").alias("hubs"))
-        alike = F.filter("hubs", lambda h: (h["comp"] != F.col("comp"))
-                         & (OF * F.least(h["n"], F.col("n")) >= SIMILAR * F.greatest(h["n"], F.col("n")))
-                         & (_differ("s", h) <= FLIPPED))
-        met = at_work.join(drawn_lists, "key").select("cls", F.transform(alike, lambda h: h["cls"]).alias("hubs"))
+        met = at_work.join(drawn_lists, "key").select("cls", F.transform(F.filter("hubs", _may_link), lambda h: h["cls"]).alias("hubs"))
         pairs = (met.filter(F.size("hubs") > 0).select("cls", F.explode("hubs").alias("hub"))
                  .select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct())
         if checked is not None:
             pairs = pairs.join(checked, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = confirmed(pairs, sets)
-        label = lambda c: labels.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp"))
-        joined = roots(found.join(label("u"), "u").join(label("v"), "v")
-                       .select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v")))
-        labels = stored(labels.join(joined.withColumnRenamed("node", "comp"), "comp", "left")
-                        .select("cls", F.coalesce("root", "comp").alias("comp")), "labels")
-        these = drawn.select("key", F.col("hub.cls").alias("cls"))
+        found = stored(confirmed(pairs, sets), "links")
+        if not found.isEmpty():
+            label = lambda c: labels.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp"))
+            joined = roots(found.join(label("u"), "u").join(label("v"), "v")
+                           .select(F.col("u_comp").alias("u"), F.col("v_comp").alias("v")))
+            before = labels
+            labels = stored(labels.join(joined.withColumnRenamed("node", "comp"), "comp", "left")
+                            .select("cls", F.coalesce("root", "comp").alias("comp")), "labels")
+            forget(before)
+        these = stored(drawn.select("key", F.col("hub.cls").alias("cls")), "drawn")
         done = these if done is None else done.unionByName(these)
         checked = pairs if checked is None else checked.unionByName(pairs)
+        forget(at_work, drawn, found)
         turn += 1
 
 
@@ -198,7 +214,9 @@ def groups(docs: DataFrame) -> DataFrame:
         F.first("sketch").alias("sketch")), "classes")
     members = stored(_members(classes), "buckets")
     wanted = members.select("cls").distinct().join(classes.select("cls", F.col("doc_id").alias("wanted_id")), "cls")
-    labels = linked(members, stored(_sets(docs, wanted), "sets"))
+    sets = stored(_sets(docs, wanted), "sets")
+    labels = linked(members, sets)
+    forget(members, sets)
     named = (classes.select("cls", "doc_id").join(labels, "cls", "left")
              .withColumn("comp", F.coalesce("comp", "cls")))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
