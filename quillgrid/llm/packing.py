@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillgrid.llm.tables import checkpointed
 from quillgrid.llm.text import per_batch, raw
+from quillgrid.plans.lineage import cut
 
 MODEL = "word_bpe_49k.json"
 CAPACITY, END = 2048, 0
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, model: str = MODEL) -> Dat
     """``doc_id, piece, start, length, ids_crc32``: the documents' ids with the end token, cut if too long."""
     path = public_tokenizers.path(model)
 
-    def cut(batch: pa.RecordBatch) -> dict:
+    def divided(batch: pa.RecordBatch) -> dict:
         doc_ids, rows = batch.column("doc_id").to_pylist(), []
         texts = raw(batch)
         for low in range(0, len(texts), 256):
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, model: str = MODEL) -> Dat
                     part = made[at:at + 4 * capacity]
                     rows.append((doc_id, nth, at // 4, len(part) // 4, zlib.crc32(part)))
         return {name: [r[k] for r in rows] for k, name in enumerate(("doc_id", "piece", "start", "length", "ids_crc32"))}
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut,
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), divided,
                      "doc_id long,piece int,start long,length long,ids_crc32 long")
 
 
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, model: str = MODEL) -> DataF
     """Every piece of every document with its sequence and its offset there."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # checkpointed, as the order and the parts must stay what they are from here on
-    ranked = checkpointed(
+    ranked = cut(
         pieces(docs, capacity, model)
         .repartitionByRange(parts, F.desc("length"), "doc_id", "piece", "ids_crc32")
         .sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32"))
