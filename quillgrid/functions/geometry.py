@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MOST_CELLS = 1 << 52  # of a row of cells on either side of 0
 UNROLLED = 64  # more centers than this go into one array, not one expression each
 
 
@@ -46,7 +47,13 @@ def cell_side(distance: float) -> float:
 
 
 def cell_index(coordinate: Column, side: float) -> Column:
-    return F.floor(coordinate / F.lit(side))
+    """The cell of a coordinate; stops the query where doubles can no longer tell cells apart."""
+    cells = coordinate / F.lit(side)
+    far = F.raise_error(F.lit("a coordinate is more than 2^52 cells away from 0")).cast("double")
+    return F.floor(F.when(F.abs(cells) <= F.lit(float(MOST_CELLS)), cells).otherwise(far))
+
+
+EXTENT = ("x_lo", "x_hi", "y_lo", "y_hi")
 
 
 def extent(x: str = "x", y: str = "y") -> list[Column]:
@@ -80,7 +87,7 @@ def farthest_between(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def box(prefix: str) -> dict[str, Column]:
-    return {k: F.col(prefix + k) for k in ("x_lo", "x_hi", "y_lo", "y_hi")}
+    return {k: F.col(prefix + k) for k in EXTENT}
 
 
 def point_box(x: Column, y: Column) -> dict[str, Column]:

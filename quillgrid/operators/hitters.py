@@ -71,12 +71,13 @@ def is_frequent(n: Column, f: Frequency) -> Column:
 
 
 def frequent(counts: DataFrame, f: Frequency) -> DataFrame:
-    """The frequent rows of a histogram, ascending; never more than 1/phi."""
-    return counts.filter(is_frequent(F.col("n"), f)).orderBy("item")
+    """The frequent rows of a histogram; never more than 1/phi."""
+    return counts.filter(is_frequent(F.col("n"), f))
 
 
 def frequent_exact(stream: DataFrame, f: Frequency) -> DataFrame:
-    return frequent(histogram(stream, f), f)
+    """The frequent items with their counts, ascending."""
+    return frequent(histogram(stream, f), f).orderBy("item")
 
 
 def reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
@@ -95,11 +96,11 @@ def reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
 
 def sampled(sample: DataFrame) -> DataFrame:
     """The estimate a reservoir makes: its distinct items, however often they occur."""
-    return sample.select("item").distinct().orderBy("item")
+    return sample.select("item").distinct()
 
 
 def frequent_reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
-    return sampled(reservoir(stream, f))
+    return sampled(reservoir(stream, f)).orderBy("item")
 
 
 def first_tracked(arrivals: DataFrame, f: Frequency) -> DataFrame:
@@ -108,11 +109,15 @@ def first_tracked(arrivals: DataFrame, f: Frequency) -> DataFrame:
             .groupBy("item").agg(F.min("arrival").alias("first")))
 
 
+def is_bounded(f: Frequency) -> bool:
+    return f.tracked <= BROADCAST_TRACKED
+
+
 def bounded(tracked: DataFrame, f: Frequency) -> DataFrame:
-    return F.broadcast(tracked) if f.tracked <= BROADCAST_TRACKED else tracked
+    return F.broadcast(tracked) if is_bounded(f) else tracked
 
 
-def _by_blocks(arrivals: DataFrame, f: Frequency) -> DataFrame:
+def by_blocks(arrivals: DataFrame, f: Frequency) -> DataFrame:
     """Sticky counts for tables too large to broadcast.
 
     An item is ranked within blocks of consecutive arrivals, so one that makes up a
@@ -138,19 +143,19 @@ def sticky(stream: DataFrame, f: Frequency) -> DataFrame:
     if f.rate >= 1:
         return histogram(stream, f)
     arrivals = first_arrivals(stream, f.n)
-    if f.tracked > BROADCAST_TRACKED:
-        return _by_blocks(arrivals, f)
+    if not is_bounded(f):
+        return by_blocks(arrivals, f)
     return (arrivals.join(bounded(first_tracked(arrivals, f), f), "item").filter("arrival >= first")
             .groupBy("item").agg(F.count("*").alias("n")))
 
 
 def above_boundary(tallies: DataFrame, f: Frequency) -> DataFrame:
     """The estimate of a sticky table: rows with a count of at least (phi - epsilon) n."""
-    return tallies.filter(F.col("n") >= F.lit(f.boundary)).orderBy("item")
+    return tallies.filter(F.col("n") >= F.lit(f.boundary))
 
 
 def frequent_sticky(stream: DataFrame, f: Frequency) -> DataFrame:
-    return above_boundary(sticky(stream, f), f)
+    return above_boundary(sticky(stream, f), f).orderBy("item")
 
 
 def flags(counts: DataFrame, sample: DataFrame, tallies: DataFrame, f: Frequency) -> DataFrame:

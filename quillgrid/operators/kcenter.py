@@ -1,13 +1,13 @@
 """k-center clustering by farthest-first traversal.
 
 Ties go to the lowest id, and a traversal ends early once every point is a center.
-A traversal reads its points once per center and brings only that center to the driver.
+A traversal reads its points once per center, with their distances to the centers before
+the last few, and brings only that center to the driver.
 """
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +17,9 @@ from quillgrid.operators.grid import approximate_outliers
 from quillgrid.plans.lineage import cut
 
 CENTERS = pa.schema({"rank": pa.int32(), "id": pa.int64(), "x": pa.float64(), "y": pa.float64()})
-COLLECTED_GROUPS = 10_000   # one row per group and round on the driver
-BROADCAST_GROUPS = 100_000  # one row per group on every executor
+CARRIED = 8                 # centers after which the distances to them are written down
+COLLECTED_ROWS = 100_000    # centers of all groups that may come to the driver, one round at a time
+BROADCAST_GROUPS = 100_000  # one row of at most CARRIED centers per group on every executor
 BLOCK_ROWS = 1_000_000      # points of one block in a Python worker, 24 bytes each
 
 Centers = list[tuple[int, float, float]]
@@ -37,20 +38,21 @@ def farthest_first(points: DataFrame, k: int, seed: int | None = None) -> Center
     """
     checks.whole("k", k, 1)
     start = F.col("id") if seed is None else F.struct(rng.uniform(F.col("id"), f"{seed}:"), "id")
-    held = points.select("id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        first = held.agg(F.min_by(F.struct("id", "x", "y"), start).alias("c")).first().c
-        chosen = [] if first is None else [tuple(first)]
-        while chosen and len(chosen) < k:
-            scored = held.withColumn("d2", nearest_squared(F.col("x"), F.col("y"), _plane(chosen)))
-            far = scored.agg(F.max_by(F.struct("id", "x", "y", "d2"), F.struct("d2", -F.col("id")))
-                             .alias("c")).first().c
-            if far.d2 == 0:
-                break
-            chosen.append((far.id, far.x, far.y))
-        return chosen
-    finally:
-        held.unpersist()
+    left = points.select("id", "x", "y")
+    first = left.agg(F.min_by(F.struct("id", "x", "y"), start).alias("c")).first().c
+    chosen = [] if first is None else [tuple(first)]
+    left, new = left.withColumn("d2", F.lit(float("inf"))), list(chosen)
+    while chosen and len(chosen) < k:
+        scored = left.withColumn("d2", F.least("d2", nearest_squared(F.col("x"), F.col("y"), _plane(new))))
+        if len(new) == CARRIED:
+            left, new = cut(scored), []
+            scored = left
+        far = scored.agg(F.max_by(F.struct("id", "x", "y", "d2"), F.struct("d2", -F.col("id"))).alias("c")).first().c
+        if far.d2 == 0:
+            break
+        chosen.append((far.id, far.x, far.y))
+        new.append(chosen[-1])
+    return chosen
 
 
 def _table(points: DataFrame, centers: Centers) -> DataFrame:
@@ -65,47 +67,65 @@ def global_centers(points: DataFrame, k: int, seed: int | None = None) -> DataFr
     return _table(points, farthest_first(points, k, seed))
 
 
+def _farthest(scored: DataFrame) -> DataFrame:
+    """``(g, id, x, y)``: the farthest point of each group that has one, the lowest id on ties.
+
+    Each batch of rows gives one row per group before anything is shuffled.
+    """
+    def best(batches):
+        for batch in batches:
+            rows = batch.to_pandas()
+            rows = rows[rows["d2"] > 0].sort_values(["d2", "id"], ascending=[False, True])
+            yield pa.RecordBatch.from_pandas(rows.drop_duplicates("g"), batch.schema, preserve_index=False)
+    one = F.max_by(F.struct("id", "x", "y"), F.struct("d2", -F.col("id"))).alias("c")
+    return scored.mapInArrow(best, scored.schema).groupBy("g").agg(one).select("g", "c.*")
+
+
 def coreset(points: DataFrame, k: int) -> DataFrame:
     """Farthest-first inside each group ``g`` at once: ``(g, rank, id, x, y)``.
 
-    Round by round, the groups' best distances are aggregated and their next centers
-    picked by a join with one row per group. No group is gathered anywhere, so one of
-    any size does, and partial aggregation makes the size of a group irrelevant.
+    Round by round, the groups' next centers are found in one pass over the points and
+    joined to them, one row per group. Points keep their distance to the centers so far,
+    so a round costs the same however many there are. No group is gathered anywhere.
     """
     checks.whole("k", k, 1)
-    held = points.select("g", "id", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        lowest = held.groupBy("g").agg(F.min("id").alias("id"))
-        groups = lowest.count()
-
-        def settle(rows):
-            if groups > COLLECTED_GROUPS:
-                return cut(rows)
-            return held.sparkSession.createDataFrame(rows.toArrow())
-
-        def small(rows):
-            return F.broadcast(rows) if groups <= BROADCAST_GROUPS else rows
-
-        center = F.struct("id", "x", "y")
-        found = settle(held.join(small(lowest), ["g", "id"]).select("g", F.array(center).alias("found")))
-        for size in range(1, k):
-            # flat columns keep the generated code short; a group that ran out of points
-            # has fewer centers, and least leaves the missing ones out
-            flat = [F.get("found", F.lit(i))[c].alias(f"{c}{i}") for i in range(size) for c in "xy"]
-            d2 = [squared_distance(F.col("x"), F.col("y"), F.col(f"x{i}"), F.col(f"y{i}")) for i in range(size)]
-            scored = held.join(small(found.select("g", *flat)), "g").select(
-                "g", "id", "x", "y", (d2[0] if size == 1 else F.least(*d2)).alias("d2"))
-            best = scored.groupBy("g").agg(F.max("d2").alias("best")).filter("best > 0")
-            # two passes of hash aggregation; max_by of a struct would sort all rows by group
-            farthest = (scored.join(small(best), "g").filter("d2 = best")
-                        .groupBy("g").agg(F.min(center).alias("next")))
-            found = settle(found.join(small(farthest), "g", "left").select(
-                "g", F.concat("found", F.when(F.col("next").isNotNull(), F.array("next"))
-                              .otherwise(F.array().cast("array<struct<id:bigint,x:double,y:double>>")))
-                .alias("found")))
-        return found.select("g", F.posexplode("found").alias("rank", "c")).select("g", "rank", "c.*")
-    finally:
-        held.unpersist()
+    left = points.select("g", "id", "x", "y")
+    lowest = left.groupBy("g").agg(F.min("id").alias("id"))
+    groups = lowest.count()
+
+    def settle(rows: DataFrame) -> tuple[DataFrame, bool]:
+        if groups * k > COLLECTED_ROWS:
+            rows = cut(rows)
+            return rows, not rows.isEmpty()
+        here = rows.toArrow()
+        return points.sparkSession.createDataFrame(here, rows.schema), len(here) > 0
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if groups <= BROADCAST_GROUPS else rows
+
+    newest, more = settle(left.join(small(lowest), ["g", "id"]).select("g", "id", "x", "y"))
+    rounds, new = [newest], [newest]
+    left = left.withColumn("d2", F.lit(float("inf")))
+    while more and len(rounds) < k:
+        # a group that ran out of points has fewer new centers, and least leaves the missing ones out
+        flat = None
+        for i, centers in enumerate(new):
+            one = centers.select("g", F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+            flat = one if flat is None else flat.join(small(one), "g", "left")
+        d2 = [squared_distance(F.col("x"), F.col("y"), F.col(f"x{i}"), F.col(f"y{i}")) for i in range(len(new))]
+        scored = left.join(small(flat), "g").select("g", "id", "x", "y", F.least("d2", *d2).alias("d2"))
+        if len(new) == CARRIED:
+            left, new = cut(scored), []
+            scored = left
+        newest, more = settle(_farthest(scored))
+        if more:
+            rounds.append(newest)
+            new.append(newest)
+    out = None
+    for rank, centers in enumerate(rounds):
+        row = centers.select("g", F.lit(rank).alias("rank"), "id", "x", "y")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _block_centers(block: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -122,30 +142,35 @@ def _block_centers(block: pd.DataFrame, k: int) -> pd.DataFrame:
 def coreset_by_split(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Farthest-first inside each input split: ``(id, x, y)``, one pass, no shuffle.
 
-    A split is taken in blocks of about ``block_rows`` points, each with its own ``k``
-    centers, so a worker's memory is bounded however large or uneven the splits are.
-    The union is a coreset all the same: the bound holds for any division of the points.
+    A split leaves ``k`` centers whatever its size, or its distinct points if they are
+    fewer. It is taken in blocks of about ``block_rows`` points, so that a worker holds one
+    block and the centers of those before; a split of several blocks is traversed once more
+    over their centers. That adds a level of nesting: every point then lies within 4 times
+    the best radius of a center of its split, not 2 times, and the centers of all
+    splits' centers within 8 times the best, not 4 times.
     """
     checks.whole("k", k, 1)
     checks.whole("block_rows", block_rows, 1)
 
     def centers(batches):
-        held, rows = [], 0
+        held, found, rows = [], [], 0
         for batch in batches:
             held.append(batch)
             rows += len(batch)
             if rows >= block_rows:
-                yield _block_centers(pd.concat(held), k)
+                found.append(_block_centers(pd.concat(held), k))
                 held, rows = [], 0
         if rows:
-            yield _block_centers(pd.concat(held), k)
+            found.append(_block_centers(pd.concat(held), k))
+        if found:
+            yield found[0] if len(found) == 1 else _block_centers(pd.concat(found), k)
 
     plane = points.select("id", "x", "y")
     return plane.mapInPandas(centers, "id long, x double, y double")
 
 
 def coreset_centers(points: DataFrame, k: int, parts: int | None = None) -> Centers:
-    """Centers of the whole from the centers of its parts. Within four times the optimum.
+    """Centers of the whole from the centers of its parts, within four times the optimum.
 
     ``parts`` divides the points by id, reproducibly; without it each input split is a part.
     """

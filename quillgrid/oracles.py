@@ -113,6 +113,14 @@ def _nearest(name: str) -> str:
                            from {name} p, centers c group by p.id)"""
 
 
+def _split(centers: int) -> str:
+    """Centers of any split of O are points of it, and all points lie within 4 times the radius of a plain traversal."""
+    k = q.K_ORDERS
+    return f"""with {O}, {_chain('o', 'c', k)}, centers as ({_centers('c', k)}), {_nearest('o')}
+        select {centers}::bigint as centers, {centers}::bigint as of_the_points,
+               (select sqrt(max(d2)) from nearest) as plain_radius, count(*) as covered from o"""
+
+
 def _radius_outliers(source: str, name: str, k: int, m: int) -> str:
     return f"""{_mr(source, name, k)}, {_nearest(name)},
         r as materialized (select sqrt(max(d2)) as radius, sqrt(max(d2)) / (2 * sqrt(2::double)) as side from nearest),
@@ -161,6 +169,7 @@ def oracle_sql() -> dict[str, str]:
         "spread_points": f"with {E} select id, x, y from e",
         "count_points": f"with {E} select count(*) as points from e",
         "stream_items": "select event_id as arrival, user_id as item from events",
+        "stream_text_items": "select row_number() over (order by event_id) - 1 as arrival, user_id as item from events",
         "item_positions": "select row_number() over (order by ts, event_id) - 1 as arrival, user_id as item from events",
         "word_count_per_doc": f"with {WORDS} select doc_id, line_no, word, count(*) as n from words group by all",
         "word_count_per_doc_salted": f"""with {WORDS} select doc_id, line_no, word, count(*) as n, {salt} as salt
@@ -192,6 +201,8 @@ def oracle_sql() -> dict[str, str]:
             f"with {E}, {_chain('e', 'c', q.K, _uniform(f'{q.SEED}:', 'id') + ', id')} {_centers('c', q.K)}",
         "kcenter_coreset": f"with {E}, {_coreset('e', q.K)} select g, rank, id, x, y from coreset",
         "kcenter_coreset_orders": f"with {O}, {_coreset('o', q.K_ORDERS)} select g, rank, id, x, y from coreset",
+        "kcenter_coreset_split": _split(q.PARTS * q.K_ORDERS),
+        "kcenter_mr_split": _split(q.K_ORDERS),
         "kcenter_mr": f"{_mr(E, 'e', q.K)} select rank, id, x, y from centers",
         "kcenter_mr_orders": f"{_mr(O, 'o', q.K_ORDERS)} select rank, id, x, y from centers",
         "nearest_center": f"""with {E}, {_chain('e', 'c', q.K)}, centers as ({_centers('c', q.K)}), {_nearest('e')}

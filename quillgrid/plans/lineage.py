@@ -1,5 +1,6 @@
 """The shared folder and what is written there."""
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise ValueError(f"set {SETTING} to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgrid-"))
     return sc.getCheckpointDir()

@@ -71,25 +71,29 @@ def _parts(open_pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
             .join(parts(b, "b_"), ["b_up_i", "b_up_j"]))
 
 
-def _added(queries, data, pairs, leaf, rows, tests, limit, cells, points, hot_a, hot_b, every) -> DataFrame:
+def _added(queries, data, pairs, leaf, rows, tests, limit, a_size, b_size, hot_a, hot_b, every) -> DataFrame:
     """Rows ``(id, x, y, n)`` to be summed: one level's settled and leaf pairs.
 
     The place of a point is given once or more, and is NULL in the rows of its pairs.
     """
     base = (pairs.filter("whole").groupBy("a_i", "a_j").agg(F.sum("b_n").alias("n"))
             .select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), "n"))
-    whole = lookup(queries, base, cells, hot_a, "left" if every else "inner")
+    whole = lookup(queries, base, a_size.cells, hot_a, "left" if every else "inner")
     whole = whole.select("id", "x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
     if rows == 0:
         return whole
     leaves = pairs.filter(leaf).withColumnsRenamed({"a_i": "i", "a_j": "j"})
-    # a cell of a leaf has at most LEAF_PAIRS points, so none of them is hot
-    facing = (outside_hot(queries, hot_a).join(leaves, ["i", "j"])
+    # a cell of a leaf has at most LEAF_PAIRS points, so none of them is hot, and once the points of all
+    # other cells are out of the way no key has more; until then large ones are left to adaptive splitting
+    def of_leaves(points, side_of, size):
+        names = pairs.filter(leaf).select(F.col(f"{side_of}_i").alias("i"), F.col(f"{side_of}_j").alias("j")).distinct()
+        return points.join(F.broadcast(names) if size.cells <= BROADCAST_ROWS else names, ["i", "j"], "left_semi")
+    facing = (of_leaves(outside_hot(queries, hot_a), "a", a_size).join(leaves, ["i", "j"])
               .filter(nearest_between(point_box(F.col("x"), F.col("y")), box("b_")) <= F.lit(limit))
               .select("id", "x", "y", F.col("b_i").alias("i"), F.col("b_j").alias("j")))
-    other = outside_hot(data, hot_b).select("i", "j", F.col("x").alias("b_x"), F.col("y").alias("b_y"))
-    if rows <= BROADCAST_ROWS and tests <= SCAN_TESTS * points:
+    other = of_leaves(outside_hot(data, hot_b), "b", b_size).select("i", "j", F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+    if rows <= BROADCAST_ROWS and tests <= SCAN_TESTS * b_size.points:
         facing = F.broadcast(facing)
     else:
         # by the comparisons to make: the bytes, which size shuffles otherwise, say little
@@ -131,9 +135,7 @@ def count_within(queries: DataFrame, data: DataFrame, distance: float) -> DataFr
     a_cells = b_cells if same else _cells(a_points)
     b_size = _Size(b_cells)
     a_size = b_size if same else _Size(a_cells)
-    bits = math.log2(max(b_size.reach, a_size.reach, side) / side)
-    if bits > 40:
-        raise ValueError("distance is too small against the coordinates for double precision")
+    bits = math.log2(max(b_size.reach, a_size.reach, side) / side)  # at most 52, see cell_index
     deepest = min(DEEPEST, int((52 - bits) // SPLIT_BITS))
 
     sums, level = [], 0
@@ -146,7 +148,7 @@ def count_within(queries: DataFrame, data: DataFrame, distance: float) -> DataFr
                                         F.sum(F.when(leaf, F.col("work")))).first()
         a_hot, b_hot = (None, None) if level == deepest else (a_size.hot, b_size.hot)
         sums.append(_added(a_points, b_points, pairs, leaf, rows or 0, tests or 0, limit,
-                           a_size.cells, b_size.points, a_hot, b_hot, level == 0))
+                           a_size, b_size, a_hot, b_hot, level == 0))
         if splits == 0:
             break
         if level == 0:  # deeper levels read the points of the split cells only

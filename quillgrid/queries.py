@@ -12,6 +12,7 @@ from quillgrid.sources import items as arrivals
 from quillgrid.sources.placement import spread, widen
 from quillgrid.sources.points import parse_points, points
 from quillgrid.streaming import items as streams
+from quillgrid.streaming import tables as stream_tables
 
 SALTS = 8
 EMBEDDING = dict(distance=0.05, neighbours=5)    # E: 500 points within +-0.4
@@ -85,9 +86,21 @@ def _streamed(spark, sf, start, read) -> DataFrame:
     source = streams.read_items(spark, sf, "user_id", "event_id", "events.parquet")
     to, checkpoint = fresh_path(spark, "table"), fresh_path(spark, "progress")
     start(source, to, checkpoint).awaitTermination()
+    stream_tables.remove(spark, checkpoint)
     return read(spark, to)
 
 
+def stream_text_items(spark, sf):
+    """The events' items as lines of text files, in order, read as a stream and numbered anew."""
+    lines, to, checkpoint = (fresh_path(spark, what) for what in ("lines", "table", "progress"))
+    (table(spark, sf, "events").repartitionByRange(PARTS, "event_id").sortWithinPartitions("event_id")
+     .select(F.col("user_id").cast("string")).write.text(lines))
+    streams.numbered(streams.read_lines(spark, lines), to, checkpoint).awaitTermination()
+    for folder in (lines, checkpoint):
+        stream_tables.remove(spark, folder)
+    return streams.read_numbered(spark, to)
+
+
 def stream_items(spark, sf):
     return _streamed(spark, sf, streams.append, streams.read_appended)
 
@@ -110,11 +123,12 @@ def _from_streams(summary):
     def run(spark, sf):
         f = frequency(spark, sf)
         source = streams.read_items(spark, sf, "user_id", "event_id", "events.parquet")
-        to = [fresh_path(spark, "table") for _ in range(3)]
-        started = [start(source, f, table, fresh_path(spark, "progress")) for start, table in zip(
-            (streams.stream_histogram, streams.stream_reservoir, streams.stream_sticky), to)]
-        for query in started:
+        to, progress = ([fresh_path(spark, what) for _ in range(3)] for what in ("table", "progress"))
+        started = [start(source, f, table, folder) for start, table, folder in zip(
+            (streams.stream_histogram, streams.stream_reservoir, streams.stream_sticky), to, progress)]
+        for query, folder in zip(started, progress):
             query.awaitTermination()
+            stream_tables.remove(spark, folder)
         return summary(streams.read_histogram(spark, to[0]), streams.read_reservoir(spark, to[1]),
                        streams.read_sticky(spark, to[2]), f)
     return run
@@ -135,6 +149,24 @@ def _radius(p: DataFrame, k: int, parts: int | None) -> DataFrame:
     return kcenter.covering_radius(p, kcenter.coreset_centers(p, k, parts))
 
 
+def _split_centers(take):
+    """What holds of the centers of split points however the splits fall.
+
+    How many there are, how many of them are points of the set, the radius of a plain
+    traversal, and the number of points within 4 times that radius of a center.
+    """
+    def run(spark, sf):
+        p = kept_order_points(spark, sf)
+        centers = take(spread(p, PARTS))
+        plain = kcenter.covering_radius(p, kcenter.farthest_first(p, K_ORDERS)).first().radius
+        found = [(r.id, r.x, r.y) for r in centers.collect()]  # at most K for each part
+        known = p.join(F.broadcast(centers.select("id", "x", "y")), ["id", "x", "y"], "left_semi").count()
+        near = kcenter.nearest_center(p, found).filter(F.sqrt("d2") <= F.lit(4 * plain))
+        return near.agg(F.lit(len(found)).cast("long").alias("centers"), F.lit(known).cast("long").alias("of_the_points"),
+                        F.lit(plain).alias("plain_radius"), F.count("*").alias("covered"))
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     e, o, ln = embedding_points, kept_order_points, line_points
     return {
@@ -146,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spread_points": lambda s, sf: spread(e(s, sf), PARTS, "id"),
         "count_points": lambda s, sf: grid.count_points(e(s, sf)),
         "stream_items": stream_items,
+        "stream_text_items": stream_text_items,
         "item_positions": lambda s, sf: arrivals.number_arrivals(
             table(s, sf, "events"), "user_id", ["ts", "event_id"]),
         # word count
@@ -178,10 +211,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kcenter_global_seeded": lambda s, sf: kcenter.global_centers(e(s, sf), K, SEED),
         "kcenter_coreset": lambda s, sf: kcenter.coreset(kcenter.by_id(e(s, sf), PARTS), K),
         "kcenter_coreset_orders": lambda s, sf: kcenter.coreset(kcenter.by_id(o(s, sf), PARTS), K_ORDERS),
-        "kcenter_coreset_split": lambda s, sf: kcenter.coreset_by_split(order_points(s, sf), K_ORDERS),
+        "kcenter_coreset_split": _split_centers(lambda p: kcenter.coreset_by_split(p, K_ORDERS)),
         "kcenter_mr": lambda s, sf: kcenter.mapreduce_centers(e(s, sf), K, PARTS),
         "kcenter_mr_orders": lambda s, sf: kcenter.mapreduce_centers(o(s, sf), K_ORDERS, PARTS),
-        "kcenter_mr_split": lambda s, sf: kcenter.mapreduce_centers(o(s, sf), K_ORDERS),
+        "kcenter_mr_split": _split_centers(lambda p: kcenter.mapreduce_centers(p, K_ORDERS)),
         "nearest_center": _nearest,
         "kcenter_radius": lambda s, sf: _radius(e(s, sf), K, PARTS),
         "kcenter_radius_orders": lambda s, sf: _radius(o(s, sf), K_ORDERS, PARTS),

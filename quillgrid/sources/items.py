@@ -19,16 +19,24 @@ def items(df: DataFrame, item: str | Column, arrival: str | Column) -> DataFrame
     return df.select(col(arrival).cast("long").alias("arrival"), col(item).cast("long").alias("item"))
 
 
-def number_arrivals(df: DataFrame, item: str, order: list[str]) -> DataFrame:
-    """Number the rows 0, 1, ... along ``order`` where no such column exists.
+def parse_items(text: str = "value") -> Column:
+    """The whole number in a text column; a line that is none stops the query."""
+    number = F.trim(F.col(text)).try_cast("long")
+    return F.coalesce(number, F.raise_error(F.lit("a line of the item stream is no whole number")).cast("long"))
+
+
+def number_arrivals(df: DataFrame, item: str | Column, order: list[str], start: int = 0) -> DataFrame:
+    """Number the rows ``start``, ``start + 1``, ... along ``order`` where no such column exists.
 
     ``order`` must be a total order. Rows are range-partitioned and sorted by it, and
     each takes its place in its part plus the rows of the parts before, so no task sees
     more than its range. The ranges are sampled at run time; the cut keeps both steps on
     the same ranges and the rows in place even if executors are lost in between.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.select(F.col(item).cast("long").alias("item"), *order)
+    # as many ranges as the input has splits, so that a range is about as large as one
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    value = F.col(item) if isinstance(item, str) else item
+    placed = cut(df.select(value.cast("long").alias("item"), *order)
                  .repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("item"))
     # the upper bits number the part, the lower ones the row inside it
     placed = placed.withColumn("mark", F.monotonically_increasing_id()).select(
@@ -39,4 +47,4 @@ def number_arrivals(df: DataFrame, item: str, order: list[str]) -> DataFrame:
     offsets = (placed.groupBy("part").agg(F.count("*").alias("rows"))
                .select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("skipped")))
     return placed.join(F.broadcast(offsets), "part").select(
-        (F.col("skipped") + F.col("nth")).alias("arrival"), "item")
+        (F.col("skipped") + F.col("nth") + start).alias("arrival"), "item")

@@ -1,113 +1,189 @@
 """Running the frequent-item operators as streams.
 
-Each query keeps its result as a table in a folder shared by the executors, one
-``batch_id=k`` partition per micro-batch. A batch that is run again after a failure
-overwrites its own partition, so the tables are exact however often that happens.
-Queries stop once the input at hand is used up and resume from their checkpoint.
+Each query keeps its result as a table in a folder shared by the executors, see
+``tables``. Tables are exact however often a batch is repeated. Queries take a trigger:
+by default they stop once the input at hand is used up, and resume from their
+checkpoint; with another one they run on, and ``until`` stops them after n arrivals.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillgrid.operators.hitters import Frequency, bounded, first_arrivals, first_tracked, histogram, reservoir
-from quillgrid.sources.items import items
+from quillgrid.operators.hitters import (
+    Frequency, bounded, by_blocks, first_arrivals, first_tracked, histogram, is_bounded, reservoir)
+from quillgrid.sources.items import items, number_arrivals, parse_items
+from quillgrid.streaming import tables
+
+ARRIVALS, HISTOGRAM, RESERVOIR = "arrival long, item long", "item long, n long", "slot long, item long, arrival long"
+STICKY = "item long, first long, n long"   # the row without an item carries the last arrival
+TO_THE_END = {"availableNow": True}
+COMPACTED = 20                             # partitions of an update table that are made one
 
-STICKY = "item long, first long, n long"
+#: Where a line stands in a stream of text files.
+PLACE = {"path": "_metadata.file_path", "offset": "_metadata.file_block_start"}
 
 
 def read_items(spark: SparkSession, folder: str, item: str, arrival: str, glob: str = "*.parquet",
                files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream of ``(arrival, item)``."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return items(reader.parquet(folder), item, arrival)
+    return items(_reader(spark, glob, files_per_batch).schema(schema).parquet(folder), item, arrival)
+
 
+def read_lines(spark: SparkSession, folder: str, glob: str = "*", files_per_batch: int | None = None) -> DataFrame:
+    """Text files, one item per line, as ``(item, path, offset)``: for ``numbered``."""
+    lines = _reader(spark, glob, files_per_batch).text(folder)
+    return lines.select(parse_items().alias("item"), *(F.col(c).alias(n) for n, c in PLACE.items()))
 
-def _partition(table: str, batch_id: int) -> str:
-    return f"{table}/batch_id={batch_id}"
 
+def _reader(spark: SparkSession, glob: str, files_per_batch: int | None):
+    reader = spark.readStream.option("pathGlobFilter", glob)
+    return reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
 
-def _prepare(spark: SparkSession, table: str, schema) -> None:
-    """Give a new table its schema, so that it can be read before anything arrived."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(_partition(table, -1))
 
+def numbered(lines: DataFrame, table: str, checkpoint: str, n: int | None = None, trigger: dict = TO_THE_END) -> StreamingQuery:
+    """Write a stream of lines as ``(arrival, item)``, numbered from 0 in order of batches, files and lines.
+
+    A batch starts where the one before ended: that is the number of rows of the finished
+    partitions before it. With ``n`` nothing after the first ``n`` arrivals is written.
+    """
+    spark = lines.sparkSession
+    tables.prepare(spark, table, ARRIVALS)
 
-def append(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = [k for k in tables.finished(spark, table) if k < batch_id]
+        start = tables.read(spark, table, ARRIVALS, before).count()  # from the footers
+        batch = batch.withColumn("line", F.monotonically_increasing_id())
+        if n is not None and start >= n:
+            rows = spark.createDataFrame([], ARRIVALS)
+        else:
+            rows = number_arrivals(batch, "item", ["path", "offset", "line"], start)
+            rows = rows if n is None else rows.filter(F.col("arrival") < n)
+        rows.write.mode("overwrite").parquet(tables.partition(table, batch_id))
+    return lines.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
+
+
+def append(stream: DataFrame, table: str, checkpoint: str, trigger: dict = TO_THE_END) -> StreamingQuery:
     """Write a stateless stream as it comes."""
     return (stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start(table))
+            .trigger(**trigger).start(table))
 
 
 def read_appended(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema("arrival long, item long").parquet(table)
+    return spark.read.schema(ARRIVALS).parquet(table)
+
+
+def read_numbered(spark: SparkSession, table: str) -> DataFrame:
+    return tables.read(spark, table, ARRIVALS)
+
 
+def until(query: StreamingQuery, arrived: Callable[[], int], n: int, every: float = 0.2) -> None:
+    """Stop a running query once ``arrived()`` is at least ``n``, or return when it ends by itself."""
+    while not query.awaitTermination(every):
+        if arrived() >= n:
+            query.processAllAvailable()
+            query.stop()
 
-def updates(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Write the rows of an aggregate that a micro-batch changed."""
-    _prepare(stream.sparkSession, table, stream.schema)
+
+def updates(stream: DataFrame, table: str, checkpoint: str, latest: Callable[[DataFrame], DataFrame],
+            trigger: dict = TO_THE_END, compacted: int = COMPACTED) -> StreamingQuery:
+    """Write the rows of an aggregate that a micro-batch changed.
+
+    ``latest`` reduces rows of many batches to the current ones. Every ``compacted``
+    batches it is written for all batches before, as partition ``-2 - k``, which replaces them.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    tables.prepare(spark, table, schema)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_partition(table, batch_id))
+        if batch_id and batch_id % compacted == 0:
+            there, made = tables.finished(spark, table), -2 - batch_id
+            if made not in there:
+                old = [k for k in there if k < batch_id]
+                latest(tables.read(spark, table, fields, old)).write.mode("overwrite").parquet(tables.partition(table, made))
+            tables.drop(spark, table, [k for k in there if k < batch_id and k != made])
+        batch.write.mode("overwrite").parquet(tables.partition(table, batch_id))
     return (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(write).start())
+            .trigger(**trigger).foreachBatch(write).start())
 
 
-def stream_histogram(stream: DataFrame, f: Frequency, table: str, checkpoint: str) -> StreamingQuery:
-    return updates(histogram(stream, f), table, checkpoint)
+def _latest_counts(rows: DataFrame) -> DataFrame:
+    """Counts only grow, so the latest count of an item is its largest."""
+    return rows.groupBy("item").agg(F.max("n").alias("n"))
+
+
+def _latest_slots(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("slot").agg(F.max_by("item", "arrival").alias("item"), F.max("arrival").alias("arrival"))
+
+
+def stream_histogram(stream: DataFrame, f: Frequency, table: str, checkpoint: str, **options) -> StreamingQuery:
+    return updates(histogram(stream, f), table, checkpoint, _latest_counts, **options)
 
 
 def read_histogram(spark: SparkSession, table: str) -> DataFrame:
-    """Counts only grow, so the latest count of an item is its largest."""
-    return (spark.read.schema("item long, n long").parquet(table)
-            .groupBy("item").agg(F.max("n").alias("n")))
+    return _latest_counts(tables.read(spark, table, HISTOGRAM))
 
 
-def stream_reservoir(stream: DataFrame, f: Frequency, table: str, checkpoint: str) -> StreamingQuery:
-    return updates(reservoir(stream, f), table, checkpoint)
+def stream_reservoir(stream: DataFrame, f: Frequency, table: str, checkpoint: str, **options) -> StreamingQuery:
+    return updates(reservoir(stream, f), table, checkpoint, _latest_slots, **options)
 
 
 def read_reservoir(spark: SparkSession, table: str) -> DataFrame:
-    return (spark.read.schema("slot long, item long, arrival long").parquet(table)
-            .groupBy("slot").agg(F.max_by("item", "arrival").alias("item"), F.max("arrival").alias("arrival")))
+    return _latest_slots(tables.read(spark, table, RESERVOIR))
 
 
-def stream_sticky(stream: DataFrame, f: Frequency, table: str, checkpoint: str) -> StreamingQuery:
+def stream_sticky(stream: DataFrame, f: Frequency, table: str, checkpoint: str, trigger: dict = TO_THE_END) -> StreamingQuery:
     """Sticky sampling with its table of about r rows carried from batch to batch.
 
-    Within a batch rows may come in any order and partition: the batch is filtered for
-    newly tracked items and then counted against the broadcast table with map-side
-    combine, so an item that fills a third of it is no burden. Across batches arrivals
-    must be in order. The table after a batch depends only on the one before and on
-    the batch, which makes repeated batches harmless.
+    Within a batch rows may come in any order and partition. Items tracked before count
+    all their rows; newly tracked ones are counted against a broadcast of them, or by
+    blocks of arrivals if they are many. Either way rows are summed before they are
+    shuffled, so an item that fills a third of a batch is no burden. Across batches
+    arrivals must be in order; a batch that goes back stops the query. The table after a
+    batch depends only on the one before and on the batch, which makes repeated batches
+    harmless; only the last two are kept.
     """
-    _prepare(stream.sparkSession, table, STICKY)  # what batch 0 starts from
+    spark = stream.sparkSession
+    tables.prepare(spark, table, STICKY)  # what batch 0 starts from
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = _state(batch.sparkSession, table, batch_id - 1)
-        fresh = first_tracked(batch, f).withColumn("n", F.lit(0).cast("long"))
-        tracked = (before.unionByName(fresh.select(before.columns))
-                   .groupBy("item").agg(F.min("first").alias("first"), F.sum("n").alias("n")))
-        seen = (batch.join(bounded(tracked.select("item", "first"), f), "item").filter("arrival >= first")
-                .groupBy("item").agg(F.count("*").alias("more")))
-        after = tracked.join(seen, "item", "left").select(
-            "item", "first", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-        after.write.mode("overwrite").parquet(_partition(table, batch_id))
+        batch = batch.persist()
+        try:
+            earlier = [k for k in tables.finished(spark, table) if k < batch_id]
+            state = tables.read(spark, table, STICKY, earlier[-1:])
+            until_now = state.filter("item is null").agg(F.max("first")).first()[0]
+            low, high = batch.agg(F.min("arrival"), F.max("arrival")).first()
+            if low is not None and until_now is not None and low <= until_now:
+                raise ValueError(f"arrival {low} came after arrival {until_now}")
+            before = state.filter("item is not null")
+            after = _counted(batch, before, f)
+            last = spark.createDataFrame([(None, until_now if high is None else high, 0)], STICKY)
+            after.unionByName(last).write.mode("overwrite").parquet(tables.partition(table, batch_id))
+        finally:
+            batch.unpersist()
+        tables.drop(spark, table, earlier[:-1])
 
     return (first_arrivals(stream, f.n).writeStream.option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(step).start())
+            .trigger(**trigger).foreachBatch(step).start())
 
 
-def _state(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
-    return spark.read.schema(STICKY).parquet(_partition(table, batch_id))
+def _counted(batch: DataFrame, before: DataFrame, f: Frequency) -> DataFrame:
+    totals = batch.groupBy("item").agg(F.count("*").alias("more"))
+    older = before.join(totals, "item", "left").select(
+        "item", "first", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    fresh = first_tracked(batch, f).join(before.select("item"), "item", "left_anti")
+    if is_bounded(f):
+        counts = (batch.join(bounded(fresh, f), "item").filter("arrival >= first")
+                  .groupBy("item").agg(F.min("first").alias("first"), F.count("*").alias("n")))
+    else:
+        counts = fresh.join(by_blocks(batch, f), "item")
+    return older.unionByName(counts.select("item", "first", "n"))
 
 
 def read_sticky(spark: SparkSession, table: str) -> DataFrame:
     """The table after the last batch that finished."""
-    every = spark.read.schema(STICKY + ", batch_id long").parquet(table)
-    latest = every.agg(F.max("batch_id")).first()[0]
-    if latest is None:
-        return every.select("item", "n")
-    return every.filter(F.col("batch_id") == latest).select("item", "n")
+    return tables.read(spark, table, STICKY, tables.finished(spark, table)[-1:]).filter("item is not null").select("item", "n")

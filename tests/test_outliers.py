@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -157,3 +158,49 @@ def test_no_points(plane):
 def test_bad_arguments(plane, distance, m):
     with pytest.raises(ValueError):
         outliers.outlier_report(plane(FIFTEEN), distance, m)
+
+
+def test_points_on_the_rim_of_a_block(plane):
+    """Rounding puts two points into one 3x3 block though they are just out of reach."""
+    pairs = [(-1.007273609800237,) * 2, (1.0072736098002368,) * 2]
+    assert brute(pairs, 2.849) == [1, 1]
+    assert outliers.count_exact_outliers(plane(pairs), 2.849, 1).first()[0] == 2
+    assert outliers.outlier_report(plane(pairs), 2.849, 1).first().exact == 2
+
+
+def test_many_rims(spark):
+    """1000 drawn distances at once: clusters far from each other, each scaled to the same distance by its own factor."""
+    rnd, distance, wrong = random.Random(8), 1.0, 0
+    side = distance / (2 * math.sqrt(2))
+    pairs = []
+    for k in range(1000):
+        i, j = rnd.randint(-40, 40) * 50 + k % 7, rnd.randint(-40, 40) * 50
+        low = lambda c: c * side * (1 + rnd.choice([0, 1, -1, 2]) * 2.0 ** -52)
+        pairs += [(low(i), low(j)), (low(i + 2), low(j + 2)), (low(i + 2), low(j))]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "id long, x double, y double")
+    want = brute(pairs, distance)
+    for m in (1, 2):
+        got = {r.id for r in outliers.exact_outliers(points, distance, m).collect()}
+        assert got == {k for k, n in enumerate(want) if n <= m}
+
+
+def test_coordinates_too_far_for_cells(plane):
+    far = plane([(1e25, 0.0), (3e25, 0.0), (7e25, 0.0)])
+    for operator in (grid.cell_histogram, outliers.neighbour_counts):
+        with pytest.raises(Exception, match="2\\^52"):
+            operator(far, 1.0).collect()
+    with pytest.raises(Exception, match="2\\^52"):
+        grid.approximate_outliers(far, 1.0, 1).collect()
+    x = 2.0 ** 46
+    pairs = [(x, 0.0), (x + 1, 0.0), (x + 2, 0.0), (-x, 0.5), (-x, 1.5)]
+    assert counted(outliers.neighbour_counts(plane(pairs), 1.0)) == brute(pairs, 1.0)
+
+
+def test_a_large_cell_that_is_not_hot(spark, monkeypatch):
+    """A third of the points in one cell: none of them reaches the tasks that compare points."""
+    monkeypatch.setattr(within, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(hot, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(within, "LEAF_PAIRS", 64)
+    pairs = [(0.5, 0.5)] * 300 + [(10.0 + k, 3.0 * (k % 5)) for k in range(300)] + clouds(6, [120, 60])
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(pairs)], "id long, x double, y double")
+    assert counted(outliers.neighbour_counts(points, 1.5)) == brute(pairs, 1.5)

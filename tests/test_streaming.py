@@ -1,11 +1,14 @@
 """However a stream is cut into files, and wherever it stops, it ends where the batch does."""
 
+import os
+
 import pytest
 
 import quillgrid.operators.hitters as h
 from conftest import MIDDLE
 from quillgrid import queries as q
 from quillgrid.streaming import items as streams
+from quillgrid.streaming import tables
 
 F5000 = h.Frequency(5000, 0.008, 0.002, 0.1)
 JOBS = {
@@ -60,3 +63,85 @@ def test_nothing_arrived_in_time(spark, tmp_path):
     for name, (start, read, _) in JOBS.items():
         run(spark, start, folder, to + name, str(tmp_path / name))
         assert read(spark, to + name).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_sticky_without_broadcast(spark, tmp_path, monkeypatch, parts):
+    monkeypatch.setattr(h, "BROADCAST_TRACKED", 0)
+    folder, to, checkpoint = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    for part in range(parts):
+        feed(spark, folder, part, parts)
+    run(spark, streams.stream_sticky, folder, to, checkpoint)
+    got = sorted(streams.read_sticky(spark, to).collect())
+    monkeypatch.undo()
+    assert got == sorted(h.sticky(q.event_items(spark, MIDDLE), F5000).collect())
+
+
+def test_arrivals_that_go_back(spark, tmp_path):
+    folder, to, checkpoint = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    feed(spark, folder, 1, 4)
+    run(spark, streams.stream_sticky, folder, to, checkpoint)
+    feed(spark, folder, 0, 4)
+    with pytest.raises(Exception, match="came after"):
+        run(spark, streams.stream_sticky, folder, to, checkpoint)
+
+
+def test_tables_stay_small(spark, tmp_path):
+    """Many batches leave few partitions, and the same results."""
+    folder = str(tmp_path / "in")
+    for part in range(12):
+        feed(spark, folder, part, 12)
+    for name, (start, read, batch) in JOBS.items():
+        to = str(tmp_path / name)
+        options = {} if name == "sticky" else {"compacted": 4}
+        source = streams.read_items(spark, folder, "user_id", "event_id", files_per_batch=1)
+        start(source, F5000, to, str(tmp_path / f"{name}-progress"), **options).awaitTermination()
+        assert len(tables.finished(spark, to)) <= (2 if name == "sticky" else 5)
+        assert sorted(read(spark, to).collect()) == sorted(batch(q.event_items(spark, MIDDLE), F5000).collect())
+
+
+def test_a_partition_without_its_mark_does_not_count(spark, tmp_path):
+    folder, to = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(spark, folder, 0, 1)
+    run(spark, streams.stream_sticky, folder, to, str(tmp_path / "progress"))
+    want = sorted(streams.read_sticky(spark, to).collect())
+    spark.createDataFrame([(1, 1, 999)], streams.STICKY).write.parquet(tables.partition(to, 7))
+    (tmp_path / "out" / "batch_id=7" / "_SUCCESS").unlink()
+    assert sorted(streams.read_sticky(spark, to).collect()) == want
+
+
+def _lines(folder, files, rows):
+    folder.mkdir(exist_ok=True)
+    for k in range(files):
+        path = folder / f"part-{k}.txt"
+        path.write_text("".join(f"{(7 * i) % 13}\n" for i in range(rows) if i * files // rows == k))
+        os.utime(path, (1000 + k, 1000 + k))  # files are taken in order of their age
+
+
+@pytest.mark.parametrize("per_batch", [1, 3, 7])
+def test_text_items_are_numbered(spark, tmp_path, per_batch):
+    _lines(tmp_path / "in", 7, 100)
+    to = str(tmp_path / "out")
+    lines = streams.read_lines(spark, str(tmp_path / "in"), files_per_batch=per_batch)
+    streams.numbered(lines, to, str(tmp_path / "progress")).awaitTermination()
+    want = [(i, (7 * i) % 13) for i in range(100)]
+    assert sorted(map(tuple, streams.read_numbered(spark, to).collect())) == want
+    short = str(tmp_path / "short")
+    streams.numbered(lines, short, str(tmp_path / "short-progress"), n=33).awaitTermination()
+    assert sorted(map(tuple, streams.read_numbered(spark, short).collect())) == want[:33]
+
+
+def test_a_running_stream_stops_after_n(spark, tmp_path):
+    _lines(tmp_path / "in", 3, 60)
+    to = str(tmp_path / "out")
+    lines = streams.read_lines(spark, str(tmp_path / "in"), files_per_batch=1)
+    query = streams.numbered(lines, to, str(tmp_path / "progress"), n=30, trigger={"processingTime": "0 seconds"})
+    streams.until(query, lambda: streams.read_numbered(spark, to).count(), 30)
+    assert not query.isActive and streams.read_numbered(spark, to).count() == 30
+
+
+def test_a_line_that_is_no_number(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("1\nx\n")
+    with pytest.raises(Exception, match="no whole number"):
+        streams.numbered(streams.read_lines(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
