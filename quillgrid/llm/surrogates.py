@@ -164,13 +164,13 @@ def gender(found: Column) -> Column:
     return F.when(title(MALE_TITLES), F.lit("m:")).when(title(FEMALE_TITLES), F.lit("f:")).otherwise(F.lit("x:"))
 
 
-def marked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns, and ``found``: kind, match and entity of each match in order; of kind null where it is none."""
-    matches = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
+def found_in(text: Column) -> Column:
+    """Kind, match and entity of each match in order, of kind null where it is none; null if nothing hints at any."""
+    matches = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     found = F.transform(matches, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
     found = F.transform(found, lambda m: m.withField("entity", F.concat(
         F.when(m["kind"] == "name", gender(m["match"])).otherwise(F.lit("")), normal(m["kind"], m["match"]))))
-    return docs.withColumn("found", F.when(F.regexp_like(F.col(text), F.lit(HINT)), found))
+    return F.when(F.regexp_like(text, F.lit(HINT)), found)
 
 
 def _named(them: DataFrame, attempt: Column, key: str) -> DataFrame:
@@ -206,20 +206,20 @@ def replaced(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataF
 
     Only rows with entities are stored, numbered and joined with the surrogates.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    some = F.coalesce(F.exists("_found", lambda m: m["kind"].isNotNull()), F.lit(False))
-    all_rows = marked(docs).withColumnRenamed("found", "_found")
-    clean = all_rows.filter(~some).select(*columns, *([F.lit(0).alias(count)] if count else []))
-    rows = stored(all_rows.filter(some).withColumn("_row", F.monotonically_increasing_id()), "with-entities")
-    found = rows.select("_row", F.posexplode("_found").alias("nth", "m")).select("_row", "nth", "m.*")
+    # the rows travel in a struct, so that no column of theirs can clash
+    every = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), found_in(F.col("text")).alias("found"))
+    some = F.coalesce(F.exists("found", lambda m: m["kind"].isNotNull()), F.lit(False))
+    counted = lambda n: [n.cast("int").alias(count)] if count else []
+    clean = every.filter(~some).select("row.*", *counted(F.lit(0)))
+    rows = stored(every.filter(some).withColumn("nth_row", F.monotonically_increasing_id()), "with-entities")
+    found = rows.select("nth_row", F.posexplode("found").alias("nth", "m")).select("nth_row", "nth", "m.*")
     fakes = (found.join(mapping(found.select("kind", "entity").distinct(), key), ["kind", "entity"], "left")
              .withColumn("new", F.coalesce(dressed(F.col("kind"), F.col("match"), F.col("fake")), "match"))
-             .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("nth", "new"))).alias("_new"),
-                                  F.count("kind").cast("int").alias("_count")))
-    gaps = F.split("text", PATTERN, -1)
-    text = F.array_join(F.zip_with(gaps, "_new", lambda g, m: F.concat(g, F.coalesce(m["new"], F.lit("")))), "")
-    new = rows.join(fakes, "_row").select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-                                          *([F.col("_count").alias(count)] if count else []))
+             .groupBy("nth_row").agg(F.sort_array(F.collect_list(F.struct("nth", "new"))).alias("new"), F.count("kind").alias("n")))
+    gaps = F.split(F.col("row.text"), PATTERN, -1)
+    text = F.array_join(F.zip_with(gaps, "new", lambda g, m: F.concat(g, F.coalesce(m["new"], F.lit("")))), "")
+    new = rows.join(fakes, "nth_row").select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns),
+                                             *counted(F.col("n")))
     return clean.unionByName(new)
 
 

@@ -1,0 +1,144 @@
+"""Token counts and packing, against the tokenizers' libraries."""
+
+import random
+import zlib
+from bisect import bisect_left, insort
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from llm_cases import ODD, SMALL, docs, tables  # noqa: F401
+from quillgrid.llm import packing, prefix_tokens
+
+
+@pytest.fixture(scope="module")
+def pieces_of():
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(prefix_tokens.MODEL))
+    return lambda text: len(model.encode(text))
+
+
+def test_every_prefix_of_random_texts(pieces_of):
+    table = prefix_tokens.prefixes(public_tokenizers.path(prefix_tokens.MODEL))
+    draw = random.Random(1)
+    for _ in range(400):
+        text = "".join(draw.choice("abcdefgtheinon   \n\t▁é漢字🙂\0<s>ſﬁ　.,!1203") for _ in range(draw.randint(0, 40)))
+        if draw.random() < 0.3:
+            text = text.replace("a", " " * draw.randint(1, 40))
+        deltas = table.count(text)
+        assert len(deltas) == len(text)
+        counts = np.frombuffer(deltas, np.int8).cumsum()
+        assert counts.tolist() == [pieces_of(text[:k]) for k in range(1, len(text) + 1)]
+
+
+def test_counts_survive_emptied_caches(pieces_of, monkeypatch):
+    monkeypatch.setattr(prefix_tokens, "CACHED", 20)
+    table = prefix_tokens.Prefixes(public_tokenizers.path(prefix_tokens.MODEL))
+    text = " ".join(f"word{k} and {'x' * (k % 70)}" for k in range(300))
+    assert prefix_tokens.at(table.count(text), len(text)) == pieces_of(text)
+
+
+def test_budget_answers(pieces_of):
+    table = prefix_tokens.prefixes(public_tokenizers.path(prefix_tokens.MODEL))
+    text = "Some text whose longest prefix within a budget is asked for, again and again. " * 9
+    deltas = table.count(text)
+    for budget in (0, 1, 2, 17, 100, 10_000):
+        fits = [k for k in range(len(text) + 1) if pieces_of(text[:k]) <= budget]
+        assert prefix_tokens.longest(deltas, budget) == fits[-1]
+    assert [prefix_tokens.at(deltas, k) for k in (0, 5, 40)] == [pieces_of(text[:k]) for k in (0, 5, 40)]
+
+
+def test_token_budget_of_odd_rows(docs, pieces_of):
+    got = prefix_tokens.token_budget(docs(ODD), limit=100).collect()
+    want = Counter((i, len((t or "").encode()), pieces_of(t or ""), pieces_of(t or "") > 100) for i, t in ODD)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
+
+
+def test_tokens_of_table(spark, tables, pieces_of):
+    got = prefix_tokens.token_budget(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    want = {i: pieces_of(t) for i, t in tables.execute("select doc_id, text from documents").fetchall()}
+    assert {r.doc_id: r.n_tokens for r in got} == want
+
+
+def test_ids_are_those_of_whole_texts():
+    library = Tokenizer.from_file(public_tokenizers.path(packing.MODEL))
+    ours = packing.Ids(public_tokenizers.path(packing.MODEL))
+    draw = random.Random(2)
+    some = ["a", "B", "'s", "'LL", " ", "\n", "\x1c", "\x85", "\xa0", "é", "́", "Σ", "İ", "漢", "🙂", "1", "٣", "<|endoftext|>",
+            "<|startoftext|>", "!", "__", "ǅ", "ﬁ", "\0", "K", "ß"]
+    texts = ["".join(draw.choice(some) for _ in range(draw.randint(0, 20))) for _ in range(1500)]
+    for text, ids in zip(texts, ours.of([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def _one_by_one(lengths, capacity):
+    gaps, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, length)
+        size = gaps.pop(at) if at < len(gaps) else capacity
+        n += size == capacity
+        if size > length:
+            insort(gaps, size - length)
+    return n
+
+
+def test_sweeps_are_as_good_as_one_by_one():
+    draw = random.Random(3)
+    for _ in range(200):
+        capacity = draw.choice([1, 5, 16, 100])
+        counts = Counter(draw.randint(1, capacity) for _ in range(draw.randint(0, 300)))
+        lengths = sorted(counts.elements(), reverse=True)
+        ranges = packing.sweeps(counts, capacity)
+        used: dict[int, list] = {}
+        for k, (first, sequence, offset, each, length) in enumerate(ranges):
+            end = ranges[k + 1][0] if k + 1 < len(ranges) else len(lengths)
+            assert lengths[first:end] == [length] * (end - first)
+            for nth in range(end - first):
+                used.setdefault(sequence + nth // each, []).append((offset + nth % each * length, length))
+        for places in used.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        assert len(used) == _one_by_one(lengths, capacity)
+
+
+def _check(rows, texts, capacity):
+    library = Tokenizer.from_file(public_tokenizers.path(packing.MODEL))
+    want = Counter()
+    for doc_id, text in texts:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for nth, at in enumerate(range(0, len(ids), capacity)):
+            part = ids[at:at + capacity]
+            want[doc_id, nth, at, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    places: dict[int, list] = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for them in places.values():
+        at = 0
+        for offset, length in sorted(them):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(places) == _one_by_one([r.length for r in rows], capacity)
+
+
+def test_packing_of_table(spark, tables):
+    rows = packing.pack(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    _check(rows, tables.execute("select doc_id, text from documents").fetchall(), packing.CAPACITY)
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 2048])
+def test_packing_of_odd_rows(docs, capacity):
+    few = [(i, t if t is None else t[:300]) for i, t in ODD] if capacity < 10 else ODD
+    _check(packing.pack(docs(few), capacity=capacity).collect(), few, capacity)
+
+
+def test_nothing_to_pack(docs, spark):
+    assert packing.pack(docs(ODD).limit(0)).collect() == []
+    assert prefix_tokens.token_budget(docs(ODD).limit(0)).collect() == []
