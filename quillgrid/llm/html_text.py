@@ -4,8 +4,8 @@ A page becomes a tree; what is never article text (menus, forms, scripts, advert
 comments and so on, by tag, role or class) is left out of it. Each node has a density: its
 characters per tag, adjusted by how much of them is link text. The node whose children's
 densities sum up highest is the core of the article. Siblings of the nodes between it and
-the body belong to the article too if their density reaches the lowest one on that path;
-an enclosing article or main element is taken whole.
+the body belong to the article too if their density reaches the lowest one on that path.
+An article or main element around the core, or one that holds most of it, is taken whole.
 
 Nulls: a null or empty page has an empty text and 0 characters. Rows that repeat get the
 same text each. Broken markup never fails: what is open at the end is closed there.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from quillgrid.llm.text import per_batch, raw
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/]+)")
 
 # Kinds of HTML elements.
@@ -116,20 +116,30 @@ def _inside(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
-def _has_heading(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.tag in ("h1", "h2") or _has_heading(x)) for x in node.items)
+def _nodes(root: Node):
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += [x for x in reversed(n.items) if isinstance(x, Node)]
+
+
+def _below(node: Node, tags: tuple[str, ...]):
+    return (n for n in _nodes(node) if n is not node and n.tag in tags)
 
 
 def away(node: Node) -> bool:
-    """Whether a node is never part of an article."""
+    """Whether a node is never part of an article.
+
+    One that holds an article, for want of an end tag as a rule, is not.
+    """
     if node.tag in ("html", "body", "main"):
         return False
-    if node.tag in AWAY or node.hidden or node.role in AWAY_ROLES:
-        return True
-    if node.names and AWAY_NAMES.search(node.names):
-        return True
+    named = node.names and AWAY_NAMES.search(node.names)
+    if node.tag in AWAY or node.hidden or node.role in AWAY_ROLES or named:
+        return not any(not AWAY_NAMES.search(n.names) for n in _below(node, ("article", "main")))
     if node.tag == "header" or (node.names and node.tag not in ("article", "h1", "h2", "h3") and HEADER.search(node.names)):
-        return not (_inside(node, ("article", "main")) and _has_heading(node))
+        return not (_inside(node, ("article", "main")) and any(_below(node, ("h1", "h2"))) or any(_below(node, ("article", "main"))))
     return False
 
 
@@ -165,14 +175,6 @@ def density(n: Node, body: Node) -> float:
     return n.chars / n.tags * log(max(links, 1.0)) / log(max(base, 1.05))
 
 
-def _nodes(root: Node):
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        yield n
-        todo += [x for x in reversed(n.items) if isinstance(x, Node)]
-
-
 def article(root: Node) -> list[Node | str]:
     """What of the page is article, in page order."""
     body = next((n for n in _nodes(root) if n.tag == "body"), root)
@@ -191,6 +193,9 @@ def article(root: Node) -> list[Node | str]:
             n = n.parent
         if n.tag == tag:
             return [n]
+    marked = [n for n in every if n.tag in ("article", "main") and 2 * n.chars >= best.chars > 0]
+    if marked:
+        return [max(marked, key=lambda n: n.chars)]
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)

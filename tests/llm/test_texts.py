@@ -37,7 +37,7 @@ def _telling(rows, every, size):
     out = {}
     for i, c in tf:
         if i is not None and i % every == 0:
-            best = sorted(((-c[t] * idf[t], bm25.terms(t.encode())[0][0], t) for t in c if t in idf))[:size]
+            best = sorted(((-(1 + log(c[t])) * idf[t], bm25.terms(t.encode())[0][0], t) for t in c if t in idf))[:size]
             if best:
                 out[i] = {t: idf[t] for _, _, t in best}
     return out
@@ -45,13 +45,14 @@ def _telling(rows, every, size):
 
 @pytest.mark.parametrize("shard, block, queries", [(8192, 64, 20_000), (7, 2, 3)])
 def test_search_is_exact(docs, spark, tables, monkeypatch, shard, block, queries):
-    monkeypatch.setattr(bm25, "K", 10)
     rows = tables.execute("select doc_id, text from documents").fetchall() + ODD
+    monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
+    monkeypatch.setattr(bm25, "BLOCK", block)
     if shard == 8192:
         got = bm25.similar_documents(docs(rows), every=5)
     else:
         df, n, mean = bm25.statistics(docs(rows))
-        got = bm25.top(docs(rows), bm25.as_queries(docs(rows).filter("doc_id % 5 = 0"), df, n), mean, block=queries)
+        got = bm25.top(docs(rows), bm25.as_queries(docs(rows).filter("doc_id % 5 = 0"), df, n), mean, k=10, block=queries)
     found: dict = {}
     for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
         found.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 9)))
@@ -76,7 +77,10 @@ def test_wand_skips_and_keeps_ties():
         for x, w in zip(lists, weights):
             for d, a in zip(x.docs, x.adds):
                 scores[d] = scores.get(d, 0.0) + w * a
-        assert bm25.search(lists, weights, 10) == sorted(((s, d) for d, s in scores.items()), key=lambda x: (-x[0], x[1]))[:10]
+        want = sorted(((s, d) for d, s in scores.items()), key=lambda x: (-x[0], x[1]))[:10]
+        assert bm25.search(lists, weights, 10) == want
+        if len(want) == 10:
+            assert bm25.search(lists, weights, 10, floor=want[-1][0]) == want
 
 
 def test_search_without_documents(docs):
@@ -102,6 +106,8 @@ def test_article_of_a_page_without_article_element():
     ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<article><p>x &lt;b&gt; y</article><nav>menu</nav>", "x <b> y"),
     ("<div>unclosed <b>bold", "unclosed bold"), ("<!-- only --><script>x</script>", ""), ("</p></div>text<", "text<"),
     ("<article><header><h1>T</h1></header><p>body</p></article>", "T\nbody"), ("<article><p>a</p><section class=comments>c</section>", "a"),
+    ("<div class=ad>buy<article><p>kept</article>", "kept"), ("<div id=comments><article class=comment>no</article></div><p>yes", "yes"),
+    ("<article><header>" + "<div>" * 3000 + "<h1>T</h1>", "T"), ("<a href=\"x>y</a><p>z", "y\nz"),
     ("<p>" * 3000 + "deep", "deep"), ("<div>" * 3000 + "deep", "deep")])
 def test_pages(page, text):
     assert html_text.main_text(page) == text
