@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.text import WORD_BYTES, per_batch, raw, words
+from quillgrid.llm.text import WORD_BYTES, kept_rows, per_batch, raw, words
 
 WINDOW = 13
 SHARE = 20                       # contaminated: at least 1 of so many words is hit
@@ -159,18 +159,13 @@ def spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_bytes:
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The documents that are not contaminated, as they are: decided within the row, without a join."""
-    machines = shards(benchmark)
-    place = docs.columns.index("text")
-
-    def kept(them):
-        for batch in them:
-            keep = []
-            for t in raw(batch.select([place]), "text"):
-                n, runs = 0, []
-                for items in machines:
-                    n, more, _ = scan(t, automaton(items, size))
-                    runs = joined(runs + more)
-                hit = sum(e - s for s, e in runs)
-                keep.append(not (hit > 0 and share * hit >= n))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-    return docs.mapInArrow(kept, docs.schema)
+    parts = shards(benchmark)
+
+    def keeps(text: bytes) -> bool:
+        n, runs = 0, []
+        for items in parts:
+            n, more, _ = scan(text, automaton(items, size))
+            runs = joined(runs + more)
+        hit = sum(end - first for first, end in runs)
+        return not (hit > 0 and share * hit >= n)
+    return kept_rows(docs, keeps)

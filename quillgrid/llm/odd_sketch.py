@@ -43,7 +43,7 @@ SAMPLES = BANDS * ROWS
 DIFFER = SAMPLES * (1 - SIMILAR / OF) + 6 * (SAMPLES * (1 - SIMILAR / OF) * SIMILAR / OF) ** 0.5
 FLIPPED = round(BITS / 2 * (1 - exp(-4 * DIFFER / BITS))) + 3
 HUBS = (1, 16, 512)              # hubs of a bucket in each round, the last for all further ones
-CACHED = 500_000                 # words whose hashes a worker keeps; time only
+CACHED = 200_000                 # words whose hashes a worker keeps; time only
 
 _draw = np.random.default_rng(11)
 _FACTORS = _draw.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)

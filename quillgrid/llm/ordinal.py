@@ -59,9 +59,13 @@ def fit(slots: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n
     shape = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     every = np.concatenate(slots)
     common = (np.bincount(every, minlength=dimensions) >= min(COMMON, n))[every]
-    used, column = np.unique(every[common], return_inverse=True)
+    used = np.unique(every[common])
+    place = np.zeros(dimensions, np.int32)
+    place[used] = np.arange(len(used))
+    column = place[every[common]]
     value = np.concatenate(values)[common]
-    row = np.repeat(np.arange(n), [len(s) for s in slots])[common]
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in slots])[common]
+    del every, common, place
     w, past, past_shape = np.zeros(len(used)), np.full(len(used), 1e-6), np.full(n_grades - 1, 1e-6)
     at = np.arange(n)
     for _ in range(steps):
@@ -87,7 +91,7 @@ def fit(slots: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n
 
 
 def sample(docs: DataFrame, rated: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """``grade, text`` of at most ``rows`` rated documents; the lowest of several ratings, no rating that is null."""
+    """``doc_id, grade, text`` of at most ``rows`` rated documents; the lowest of several ratings, no rating that is null."""
     one = rated.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return (docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")       # at most `rows` of two numbers
@@ -99,19 +103,19 @@ def trained(docs: DataFrame, rated: DataFrame, features: Features, n_grades: int
     """A model of ``rated`` (``doc_id, grade``). ``regrade`` may refine the grades from the sample's features."""
     def extracted(batch: pa.RecordBatch) -> dict:
         made = [features(t) for t in raw(batch)]
-        return {"grade": batch.column("grade").cast(pa.int32()), "slots": [s for s, _ in made], "values": [v for _, v in made]}
+        return {"doc_id": batch.column("doc_id").cast(pa.int64()), "grade": batch.column("grade").cast(pa.int32()), "slots": [s for s, _ in made], "values": [v for _, v in made]}
 
     def fitted(them):
-        grades, slots, values = [], [], []
+        rows = []
         for batch in them:
-            grades += batch.column("grade").to_pylist()
-            slots += [np.array(x, np.int64) for x in batch.column("slots").to_numpy(zero_copy_only=False)]
-            values += [np.array(x, np.float32) for x in batch.column("values").to_numpy(zero_copy_only=False)]
-        order = sorted(range(len(grades)), key=lambda k: (grades[k], slots[k].tobytes(), values[k].tobytes()))
-        y, slots, values = np.array(grades, np.int64)[order], [slots[k] for k in order], [values[k] for k in order]
+            rows += zip(batch.column("doc_id").to_pylist(), batch.column("grade").to_pylist(),
+                        (np.array(x, np.int32) for x in batch.column("slots").to_numpy(zero_copy_only=False)),
+                        (np.array(x, np.float32) for x in batch.column("values").to_numpy(zero_copy_only=False)))
+        rows.sort(key=lambda r: r[0])                # the same model however the rows arrive
+        y, slots, values = np.array([r[1] for r in rows], np.int64), [r[2] for r in rows], [r[3] for r in rows]
         model = fit(slots, values, regrade(slots, values, y) if regrade else y, n_grades)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()]), pa.array([model.thresholds.tobytes()])],
                                          names=["weights", "thresholds"])
-    rows_of = per_batch(sample(docs, rated, rows), extracted, "grade int,slots array<int>,values array<float>")
+    rows_of = per_batch(sample(docs, rated, rows), extracted, "doc_id long,grade int,slots array<int>,values array<float>")
     weights, thresholds = rows_of.repartition(1).mapInArrow(fitted, "weights binary, thresholds binary").first()
     return Model(np.frombuffer(weights, np.float32), np.frombuffer(thresholds))

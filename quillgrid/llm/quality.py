@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import ordinal
-from quillgrid.llm.text import per_batch, raw
+from quillgrid.llm.text import kept_rows, per_batch, raw
 
 GRADES, GOOD, LEAST = 3, 1, 0.5
-CACHED = 300_000                # words a worker keeps; time only
+CACHED = 100_000                # words a worker keeps; time only
 
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b > 127 else 48 if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -75,8 +75,4 @@ def graded(docs: DataFrame, fitted: ordinal.Model, good: int = GOOD, least: floa
 
 def selected(docs: DataFrame, fitted: ordinal.Model, good: int = GOOD, least: float = LEAST) -> DataFrame:
     """The documents whose tail probability is high enough, as they are."""
-    def kept(them):
-        for batch in them:
-            keep = [bool(fitted.above(*features(t))[good - 1] >= least) for t in raw(batch)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-    return docs.mapInArrow(kept, docs.schema)
+    return kept_rows(docs, lambda text: bool(fitted.above(*features(text))[good - 1] >= least))

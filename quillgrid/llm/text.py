@@ -29,19 +29,34 @@ def lowered(text: Column) -> Column:
     return F.translate(whole(text), UPPER, LOWER)
 
 
+#: Rows whose words and arrays a worker holds at once; more rows of a batch come after them.
+ROWS = 512
+
+
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
-    """``function`` makes the columns of ``schema`` out of each Arrow batch of ``df``."""
+    """``function`` makes the columns of ``schema`` out of some rows of ``df``, an Arrow batch, at a time."""
     names = [field.split()[0] for field in schema.split(",")]
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            made = function(batch)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x := made[n], pa.Array) else pa.array(x, TYPES[k])
-                                              for n, k in zip(names, kinds)], names=names)
+            for at in range(0, batch.num_rows, ROWS):
+                made = function(batch.slice(at, ROWS))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := made[n], pa.Array) else pa.array(x, TYPES[k])
+                                                  for n, k in zip(names, kinds)], names=names)
     kinds = [field.split()[1] for field in schema.split(",")]
     return df.mapInArrow(batches, schema)
 
 
+def kept_rows(df: DataFrame, keeps: Callable[[bytes], bool]) -> DataFrame:
+    """The rows whose text is kept, with all columns as they are."""
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in them:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array([keeps(t) for t in raw(part)], pa.bool_()))
+    return df.mapInArrow(batches, df.schema)
+
+
 TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
          "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
          "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}

@@ -20,7 +20,7 @@ from quillgrid.llm import ordinal
 from quillgrid.llm.text import per_batch, raw, words
 
 GRADES, LEAST = 3, 0.5
-CACHED = 300_000                # words a worker keeps; time only
+CACHED = 100_000                # words a worker keeps; time only
 BEGINNINGS = (3, 4, 5)          # characters of a word's beginnings that are features too
 #: Tell-tale words: in at least so many toxic texts, and so many times the share of others.
 SEEN, TIMES = 5, 8.0
