@@ -18,6 +18,8 @@ Rows that repeat are packed as often as they occur.
 """
 
 import functools
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,47 +31,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quillgrid.llm.tables import stored
 from quillgrid.llm.text import per_batch, raw
 from quillgrid.plans.lineage import cut
 
 MODEL = "word_bpe_49k.json"
 CAPACITY, END = 2048, 0
-#: Entries of a worker's cache before it is emptied, and bytes of the longest entry; time only.
-CACHED, LONGEST = 400_000, 48
+#: Entries of a worker's caches before they are emptied, and bytes of the longest entry; time only.
+CACHED, LONGEST = 300_000, 48
+
+
+def _byte_letters() -> dict[int, str]:
+    """How the vocabulary writes bytes: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+#: A word of ASCII and Latin-1 letters and the ASCII punctuation after it, but for apostrophes.
+#: The vocabulary's rules cut between the two, and nothing but the case of the word changes.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Ids:
     """Token ids of whole texts.
 
     The vocabulary drops white space and no token or rule reaches over it, so a text's ids
-    are those of its parts between blanks, which mostly are known from before.
+    are those of its parts between blanks, which mostly are known from before. A plain word
+    goes to the library's merges at once, any other part through all of its rules.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, parts: list[bytes]) -> list[bytes]:
         made = self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in made]
 
+    def word(self, letters: bytes) -> bytes:
+        text = letters.decode().lower()
+        made = self.words.get(text)
+        if made is None:
+            pieces = self.merges.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))
+            made = self.words[text] = np.array([t.id for t in pieces], "<u4").tobytes()
+        return made
+
+    def part(self, part: bytes) -> bytes:
+        """Ids of a part between blanks."""
+        plain = PLAIN.fullmatch(part) if b"<|" not in part else None      # special tokens start like this
+        if plain is None or len(part) > LONGEST:
+            made = self.encode([part])[0]
+        else:
+            made = self.word(plain[1])
+            if plain[2]:
+                made += self.known.get(plain[2]) or self.part(plain[2])
+        if len(part) <= LONGEST:
+            self.known[part] = made
+        return made
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        parts = [t.split() for t in texts]
-        new = list({p for them in parts for p in them if p not in self.known})
-        extra = {}
-        for at in range(0, len(new), 20_000):
-            chunk = new[at:at + 20_000]
-            for p, ids in zip(chunk, self.encode(chunk)):
-                (self.known if len(p) <= LONGEST else extra)[p] = ids
-        look = self.known.__getitem__ if not extra else lambda p: extra.get(p) or self.known.get(p, b"")
-        return [b"".join(map(look, them)) for them in parts]
+        get, out = self.known.get, []
+        for text in texts:
+            if len(self.known) > CACHED:
+                self.known.clear()
+            if len(self.words) > CACHED:
+                self.words.clear()
+            # upper case matters to special tokens, and to letters that a mark of another script follows
+            parts = (text.lower() if text.isascii() and b"<|" not in text else text).split()
+            made = list(map(get, parts))
+            if None in made:
+                made = [self.part(p) if m is None else m for p, m in zip(parts, made)]
+            out.append(b"".join(made))
+        return out
 
 
 @functools.cache
 def ids(path: str) -> Ids:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark has a worker for each core
     return Ids(path)
 
 
@@ -78,14 +121,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, model: str = MODEL) -> Dat
     path = public_tokenizers.path(model)
 
     def divided(batch: pa.RecordBatch) -> dict:
-        doc_ids, rows = batch.column("doc_id").to_pylist(), []
-        texts = raw(batch)
-        for low in range(0, len(texts), 256):
-            for doc_id, made in zip(doc_ids[low:low + 256], ids(path).of(texts[low:low + 256])):
-                made += np.array([END], "<u4").tobytes()
-                for nth, at in enumerate(range(0, len(made), 4 * capacity)):
-                    part = made[at:at + 4 * capacity]
-                    rows.append((doc_id, nth, at // 4, len(part) // 4, zlib.crc32(part)))
+        rows, end = [], np.array([END], "<u4").tobytes()
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw(batch)):
+            made = ids(path).of([text])[0] + end
+            for nth, at in enumerate(range(0, len(made), 4 * capacity)):
+                part = made[at:at + 4 * capacity]
+                rows.append((doc_id, nth, at // 4, len(part) // 4, zlib.crc32(part)))
         return {name: [r[k] for r in rows] for k, name in enumerate(("doc_id", "piece", "start", "length", "ids_crc32"))}
     return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), divided,
                      "doc_id long,piece int,start long,length long,ids_crc32 long")
@@ -143,7 +184,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, model: str = MODEL) -> DataF
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # checkpointed, as the order and the parts must stay what they are from here on
     ranked = cut(
-        pieces(docs, capacity, model)
+        stored(pieces(docs, capacity, model), "pieces")     # sorting by range reads its input twice
         .repartitionByRange(parts, F.desc("length"), "doc_id", "piece", "ids_crc32")
         .sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32"))
     # rows are sorted by length over the parts: fewer than `capacity` and the parts together
