@@ -17,7 +17,7 @@ def op1_quality_ordinal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_bm25_wand(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.similar_documents(table(spark, sf, "documents"))
+    return bm25.similar_to_whole_documents(table(spark, sf, "documents"))
 
 
 def op3_prefix_tokens(spark: SparkSession, sf: str) -> DataFrame:
