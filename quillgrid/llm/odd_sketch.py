@@ -26,10 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillgrid.llm.components import roots
 from quillgrid.llm.tables import forget, stored
-from quillgrid.llm.text import LOWER_BYTES, per_batch, raw
+from quillgrid.llm.text import LOWER_BYTES, ROWS, per_batch, raw
 
 SHINGLE = 3
 SIMILAR, OF = 85, 100            # link: OF * intersection >= SIMILAR * union
@@ -207,7 +208,7 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row, and its class."""
+    """``doc_id, n_shingles, component_id, kept`` of each row, its class, and the component by the class that names it."""
     rows = stored(signatures(docs), "signatures")
     classes = stored(rows.filter("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"),
@@ -220,25 +221,47 @@ def groups(docs: DataFrame) -> DataFrame:
     named = (classes.select("cls", "doc_id").join(labels, "cls", "left")
              .withColumn("comp", F.coalesce("comp", "cls")))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.join(smallest, "comp").select("cls", "component_id")
+    by_class = named.join(smallest, "comp").select("cls", "component_id", "comp")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (rows.select("doc_id", "n", "cls").join(by_class, "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                    F.equal_null("doc_id", component).alias("kept"), "cls"))
+                    F.equal_null("doc_id", component).alias("kept"), "cls", "comp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: size of its set, smallest document reachable over links, and whether it stays."""
-    return groups(docs).drop("cls")
+    return groups(docs).drop("cls", "comp")
+
+
+def _with_classes(docs: DataFrame) -> DataFrame:
+    """``row, cls``: each row as a struct, and its class."""
+    schema = StructType([StructField("row", docs.schema), StructField("cls", BinaryType())])
+
+    def made(them):
+        for batch in them:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name_of(shingles(t)) for t in raw(part)], pa.binary())],
+                                                 names=["row", "cls"])
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text").mapInArrow(made, schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group, as it is.
 
-    Rows that repeat a kept doc_id (or have none) are told apart by their class, and one of each stays.
+    Where several rows have one doc_id, or have none, they are told apart by their class: one row
+    of a single class stays for each group, and one for each doc_id without any words.
     """
-    kept = groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), "cls").distinct()
-    mine = F.expr("doc_id <=> _id")
-    again = kept.groupBy("_id").agg(F.count("*").alias("m")).filter("m > 1 or _id is null").isEmpty()
-    out = docs.join(kept.select("_id").distinct(), mine, "left_semi")
-    return out if again else out.dropDuplicates(["doc_id", "text"])
+    rows = stored(groups(docs), "groups")
+    stays = rows.filter("kept")
+    kept = (stays.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("_kept"), F.min("cls").alias("_cls")).drop("comp")
+            .unionByName(stays.filter("n_shingles = 0").select(F.col("doc_id").alias("_kept"), F.col("cls").alias("_cls")).distinct()))
+    times = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("m"), F.max("kept").alias("any")).filter("any")
+    again = times.filter("m > 1 or _id is null").select("_id")
+    out = docs.join(times.filter("m = 1 and _id is not null").select("_id"), F.expr("doc_id = _id"), "left_semi")
+    if again.isEmpty():
+        return out
+    # rows without doc_id are not joined by it, as they would all be one key
+    several = docs.join(again, F.expr("doc_id = _id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    one = _with_classes(several).withColumn("_id", F.col("row.doc_id")).dropDuplicates(["_id", "cls"])
+    return out.unionByName(one.join(kept, F.expr("_id <=> _kept and cls = _cls"), "left_semi").select("row.*"))
