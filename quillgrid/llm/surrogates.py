@@ -10,7 +10,8 @@ normal form and attempt: the same everywhere for one entity, and of its kind, ge
 script and format (letters become letters of the same case, digits digits, a card number
 stays Luhn-valid, an address an address, punctuation stays). Entities with the same
 surrogate, or whose surrogate is an entity of the data, draw again but the first, until
-there are none; so different entities never become one.
+there are none; so different entities never become one. Names, e-mail addresses and secrets
+grow after a few attempts.
 
 Nulls: a null text stays null and has no entities, as has an empty one. Texts without
 entities stay as they are, to the byte.
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from quillgrid.llm.tables import stored
 
 KEY = "quillgrid"
-#: Attempts at a free surrogate; more than this many entities of one format and no free
-#: one left stops the job instead of merging entities.
+#: Attempts at a free surrogate. Only numbers have formats that can't grow; if one of those is
+#: full, the job stops instead of merging entities.
 ATTEMPTS = 40
+#: Attempts in an entity's own format; each further one makes a name, an address or a secret longer
+#: by a syllable or letter, so that there is room for any number of them.
+GROWS = 3
 
 # Forms of address, and given names to draw from, by language and gender.
 MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Don"]
@@ -123,10 +127,13 @@ def _like(text: Column, shift: int = 0) -> Column:
 
 
 def surrogate(kind: Column, entity: Column) -> Column:
-    """The surrogate in normal form, from the hash in column ``h``."""
+    """The surrogate in normal form, from the hash in column ``h``; the number of the attempt is in ``attempt``."""
     like = _like(entity)
+    extra = F.greatest(F.col("attempt") - GROWS, F.lit(0))
+    more = lambda table, at: F.array_join(F.transform(F.array_repeat(F.lit(""), extra), lambda _, k: _pick(table, k + at)), "")
+    longer = more(LOWER, 20)
     local, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
-    email = F.concat(_like(local), F.lit("@"), _like(F.regexp_replace(host, r"\.[^.]*$", ""), 31), F.lit("."),
+    email = F.concat(_like(local), longer, F.lit("@"), _like(F.regexp_replace(host, r"\.[^.]*$", ""), 31), F.lit("."),
                      F.substring_index(host, ".", -1))
     body = F.concat(F.substr(entity, F.lit(1), F.lit(4)), F.substr(like, F.lit(5), F.lit(11)))     # the issuer stays
     check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
@@ -135,14 +142,15 @@ def surrogate(kind: Column, entity: Column) -> Column:
     octet = lambda k: (_draw(k) % 254 + 1).cast("string")
     given = (F.when(F.startswith(entity, F.lit("f:")), _pick(FEMALE_NAMES, 0)).when(
         F.startswith(entity, F.lit("m:")), _pick(MALE_NAMES, 0)).otherwise(_pick(MALE_NAMES + FEMALE_NAMES, 0)))
-    family = F.initcap(F.concat(*(_pick(SYLLABLES, k) for k in range(1, 5))))
+    family = F.initcap(F.concat(*(_pick(SYLLABLES, k) for k in range(1, 5)), more(SYLLABLES, 5)))
     # a Latin name keeps having a given name or none; other scripts are replaced letter by letter
     real = F.substr(entity, F.lit(3))
-    name = (F.when(~F.regexp_like(real, F.lit(r"^[\p{IsLatin} \-]*$")), _like(real))
+    name = (F.when(~F.regexp_like(real, F.lit(r"^[\p{IsLatin} \-]*$")), F.concat(_like(real), _like(F.expr("repeat(right(entity, 1), cast(greatest(attempt - %d, 0) as int))" % GROWS), 20)))
             .when(F.regexp_like(real, F.lit("[ \\-]")), F.concat_ws(" ", given, family)).otherwise(family))
     return (F.when(kind == "email", email).when(kind == "card", F.concat(body, check)).when(kind == "phone", phone)
             .when(kind == "iban", F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.substr(like, F.lit(3))))
-            .when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "name", name).otherwise(like))
+            .when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "name", name)
+            .when(kind == "secret", F.concat(like, longer)).otherwise(like))
 
 
 def dressed(kind: Column, found: Column, fake: Column) -> Column:
