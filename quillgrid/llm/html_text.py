@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree; what is never article text (menus, forms, scripts, adverts, reader
-comments and so on, by tag, role or class) is left out of it. Each node has a density: its
+comments and so on, by tag, role or class) is left out of it, unless it holds most of the text. Each node has a density: its
 characters per tag, adjusted by how much of them is link text. The node whose children's
 densities sum up highest is the core of the article. Siblings of the nodes between it and
 the body belong to the article too if their density reaches the lowest one on that path.
@@ -36,16 +36,35 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 AWAY = set("head script style noscript template nav footer aside form button input select textarea iframe svg canvas object "
            "audio video map dialog menu title math embed noembed noframes search".split())
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
+#: Of these, what never has text that a reader sees; the others stay if they hold most of the page.
+UNSEEN = set("head script style noscript template input select textarea iframe svg canvas object audio video map title math embed "
+             "noembed noframes".split())
 AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-?bar|foot|footer|masthead|banner|ads?|advert\w*|"
+    r"nav|navbar|navigation|menus?|breadcrumbs?|sidebar|side-?bar|foot|footer|masthead|banner|ads?|advert\w*|"
     r"sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|"
     r"social|related|recommend\w*|comments?|comment-?list|disqus|replies|respond|widget|toolbar|pagination|pager|copyright|login|"
-    r"search|skip)(?:$|[\s_-])", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
+    r"search|skip", re.I)
+HEADER = re.compile(r"header|head", re.I)
+COMMENTS = re.compile(r"comments?|comment-?list|disqus|replies|respond", re.I)
+#: Words that such names are combined with; a name with any other part, as has-sidebar or elementor-widget, tells nothing.
+PLACES = set("site page global main primary secondary top bottom left right area bar bars box block list links link buttons button icons "
+             "container wrap wrapper inner outer section item items form header head post posts article articles text js 1 2 3".split())
+
+
+def named(names: str, of: re.Pattern) -> bool:
+    """Whether one of the names is a word of the pattern, or made of some and of places only."""
+    for name in names.split():
+        if of.fullmatch(name):
+            return True
+        parts = [x for x in re.split("[-_]+", name) if x]
+        hits = [bool(of.fullmatch(x)) for x in parts]
+        if any(hits) and all(hit or x.lower() in PLACES for hit, x in zip(hits, parts)):
+            return True
+    return False
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "sum", "plain")
 
     def __init__(self, tag: str, parent: "Node | None", attributes: str = ""):
         self.tag, self.parent, self.items = tag, parent, []
@@ -128,27 +147,42 @@ def _below(node: Node, tags: tuple[str, ...]):
     return (n for n in _nodes(node) if n is not node and n.tag in tags)
 
 
-def away(node: Node) -> bool:
+def _count_plain(root: Node) -> None:
+    """Characters outside of links that a reader sees, below each node."""
+    order = list(_nodes(root))
+    for n in reversed(order):
+        n.plain = 0 if n.tag in UNSEEN or n.tag == "a" or n.hidden else sum(
+            len(" ".join(x.split())) if isinstance(x, str) else x.plain for x in n.items)
+
+
+def away(node: Node, total: int, marked: bool) -> bool:
     """Whether a node is never part of an article.
 
-    One that holds an article, for want of an end tag as a rule, is not.
+    One that holds an article, for want of an end tag as a rule, is not; nor is one that holds
+    most of the ``total`` characters of the page (nearly all, for elements such as footer and for
+    readers' comments), unless the page is ``marked`` by an article elsewhere.
     """
     if node.tag in ("html", "body", "main"):
         return False
-    named = node.names and AWAY_NAMES.search(node.names)
-    if node.tag in AWAY or node.hidden or node.role in AWAY_ROLES or named:
-        return not any(not AWAY_NAMES.search(n.names) for n in _below(node, ("article", "main")))
-    if node.tag == "header" or (node.names and node.tag not in ("article", "h1", "h2", "h3") and HEADER.search(node.names)):
+    sure = node.tag in AWAY - {"form"} or named(node.names, COMMENTS)
+    if node.tag not in UNSEEN and (10 * node.plain > 9 * total if sure else 2 * node.plain > total) and (
+            not marked or _inside(node, ("article", "main"))):
+        return False
+    if node.tag in AWAY or node.hidden or node.role in AWAY_ROLES or named(node.names, AWAY_NAMES):
+        return not any(not named(n.names, AWAY_NAMES) for n in _below(node, ("article", "main")))
+    if node.tag == "header" or (node.names and node.tag not in ("article", "h1", "h2", "h3") and named(node.names, HEADER)):
         return not (_inside(node, ("article", "main")) and any(_below(node, ("h1", "h2"))) or any(_below(node, ("article", "main"))))
     return False
 
 
 def _prune_and_count(node: Node) -> None:
     """Leave out what is no article text, and count characters and tags below each node."""
+    _count_plain(node)
+    marked = any(not named(n.names, AWAY_NAMES) for n in _below(node, ("article", "main")))
     order, todo = [], [node]
     while todo:
         n = todo.pop()
-        n.items = [x for x in n.items if isinstance(x, str) or not away(x)]
+        n.items = [x for x in n.items if isinstance(x, str) or not away(x, node.plain, marked)]
         order.append(n)
         todo += [x for x in n.items if isinstance(x, Node)]
     for n in reversed(order):
@@ -192,7 +226,11 @@ def article(root: Node) -> list[Node | str]:
         while n is not body and n.tag != tag:
             n = n.parent
         if n.tag == tag:
-            return [n]
+            # one of several articles is not the whole of their main element
+            outer = n
+            while tag == "article" and outer is not body and outer.tag != "main":
+                outer = outer.parent
+            return [outer if outer.tag == "main" and 2 * n.plain < outer.plain else n]
     marked = [n for n in every if n.tag in ("article", "main") and 2 * n.chars >= best.chars > 0]
     if marked:
         return [max(marked, key=lambda n: n.chars)]
