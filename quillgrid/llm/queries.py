@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bm25, decontaminate, html_text, licenses, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
+from quillgrid.llm import bm25, decontaminate, html_text, licenses, line_rules, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_minhash_odd_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf, "documents"))
 
 
+def op12_line_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return line_rules.line_report(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -64,7 +68,37 @@ WORD = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 def oracle_sql() -> dict[str, str]:
     n = decontaminate.WINDOW
     size = odd_sketch.SHINGLE
+    r = line_rules
+    quoted = lambda text: text.replace("'", "''")
     return {
+        "op12_line_rules": rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+places as (select doc_id, k, array_to_string(w[k:k + {r.WINDOW - 1}], ' ') as line
+           from (select doc_id, w, unnest(range(1, len(w) - {r.WINDOW - 2})) as k from w)),
+again as (select doc_id, unnest(range(k, k + {r.WINDOW})) as p
+          from (select doc_id, k, count(*) over (partition by doc_id, line) as n from places) where n > 1),
+repeats as (select doc_id, count(distinct p) as n_repeat_words from again group by doc_id),
+lines as (select doc_id, line, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+                 regexp_extract_all(line, '[^\x20\x09-\x0D]+') as w
+          from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
+seen as (select doc_id, line, len(w) as n,
+                len(regexp_extract_all(line, '[{r.SEPARATORS}]')) as separators,
+                len(w) <= {r.SHORT} and (regexp_full_match(low, '{r.MENU}') or regexp_matches(low, '{r.BOILERPLATE}')) as repeated,
+                not regexp_matches(line, '[{r.ENDS}][{quoted(r.CLOSERS).replace("]", "")}\]]*[\x20\x09-\x0D]*$') as unfinished,
+                len(list_filter(w, lambda x: regexp_matches(x, '{r.MARKS.decode()}'))) as noisy
+         from lines where len(w) > 0),
+judged as (select doc_id, count(*) - count(distinct line) as n_dup_lines, count(*) filter (bad) as n_failed_lines,
+                  coalesce(sum(n) filter (bad), 0) as n_lost_words
+           from (select *, (separators > 1 and 3 * separators >= n) or repeated or unfinished or 100 * noisy > {r.NOISE} * n as bad
+                 from seen) group by doc_id),
+counted as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+                   len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+                   coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_failed_lines, 0) as n_failed_lines,
+                   coalesce(n_lost_words, 0)::bigint as n_lost_words
+            from w left join repeats using (doc_id) left join judged using (doc_id))
+select *, n_words < {r.LEAST_WORDS} or 100 * n_repeat_words > {r.REPEATED} * n_words as base_failed,
+       not base_failed and 100 * n_lost_words <= {r.LOST} * n_words as kept from counted""",
         "op10_minhash_odd_sketch": rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
