@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bm25, decontaminate, html_text, licenses, line_rules, odd_sketch, packing, prefix_tokens, quality, surrogates, toxicity
+from quillgrid.llm import bm25, decontaminate, html_text, licenses, line_rules, odd_sketch, packing, prefix_tokens, quality, surrogates, token_links, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_minhash_odd_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return odd_sketch.near_duplicates(table(spark, sf, "documents"))
 
 
+def op11_token_links(spark: SparkSession, sf: str) -> DataFrame:
+    return token_links.link_report(table(spark, sf, "documents"))
+
+
 def op12_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules.line_report(table(spark, sf, "documents"))
 
