@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bm25, decontaminate, html_text, licenses, line_rules, odd_sketch, packing, prefix_tokens, quality, surrogates, token_links, toxicity
+from quillgrid.llm import bm25, collocations, decontaminate, html_text, licenses, line_rules, odd_sketch, packing, prefix_tokens, quality, surrogates, token_links, toxicity
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules.line_report(table(spark, sf, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -74,7 +78,29 @@ def oracle_sql() -> dict[str, str]:
     size = odd_sketch.SHINGLE
     r = line_rules
     quoted = lambda text: text.replace("'", "''")
+    c = collocations
     return {
+        "op13_collocations": rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+totals as (select lang, sum(len(w))::bigint as n from w group by lang),
+f as (select lang, size, array_to_string(w[k:k + size - 1], ' ') as phrase, count(*) as f
+      from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as k from w, range(1, {c.LONGEST + 1}) t(size))
+      group by all having count(*) >= {c.LEAST}),
+cand as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from f where size > 1),
+inside as (select distinct g.lang, g.phrase from (
+             select lang, size, f, part, unnest(range(1, size - part + 2)) as k, string_split(phrase, ' ') as w, array_to_string(w[k:k + part - 1], ' ') as within
+             from (select *, unnest(range(2, size)) as part from f where size > 2)) x
+           join f g on g.lang = x.lang and g.phrase = x.within where 100 * x.f >= {c.KEPT} * g.f),
+cuts as (select c.lang, c.phrase, a, k, x.f as l, y.f as r, {c.SCALE}::hugeint * a // (x.f + y.f) as score
+         from (select *, unnest(range(1, size)) as k, array_to_string(w[:k], ' ') as head, array_to_string(w[k + 1:], ' ') as tail from cand) c
+         join f x on x.lang = c.lang and x.phrase = head join f y on y.lang = c.lang and y.phrase = tail),
+best as (select lang, phrase, a, l, r, score::bigint as score from cuts
+         qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+           from best where (lang, phrase) not in (select lang, phrase from inside))
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= {c.TOP}""",
         "op12_line_rules": rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
