@@ -6,9 +6,9 @@ by default they stop once the input at hand is used up, and resume from their
 checkpoint; with another one they run on, and ``until`` stops them after n arrivals.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,6 +24,7 @@ COMPACTED = 20                             # partitions of an update table that
 
 #: Where a line stands in a stream of text files.
 PLACE = {"path": "_metadata.file_path", "offset": "_metadata.file_block_start"}
+ENDS, END = "_ends", "end long"            # beside the partitions of a numbered table: its length after each batch
 
 
 def read_items(spark: SparkSession, folder: str, item: str, arrival: str, glob: str = "*.parquet",
@@ -44,26 +45,45 @@ def _reader(spark: SparkSession, glob: str, files_per_batch: int | None):
     return reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
 
 
-def numbered(lines: DataFrame, table: str, checkpoint: str, n: int | None = None, trigger: dict = TO_THE_END) -> StreamingQuery:
-    """Write a stream of lines as ``(arrival, item)``, numbered from 0 in order of batches, files and lines.
+def read_positions(stream: DataFrame, item: str | Column, *positions: str) -> DataFrame:
+    """Any stream as ``(item, *positions)``: for ``numbered``, with the columns that order it, such as topic, partition and offset."""
+    value = F.col(item) if isinstance(item, str) else item
+    return stream.select(value.cast("long").alias("item"), *positions)
 
-    A batch starts where the one before ended: that is the number of rows of the finished
-    partitions before it. With ``n`` nothing after the first ``n`` arrivals is written.
+
+def numbered(rows: DataFrame, table: str, checkpoint: str, n: int | None = None, trigger: dict = TO_THE_END,
+             order: Sequence[str] = tuple(PLACE)) -> StreamingQuery:
+    """Write a stream as ``(arrival, item)``, numbered from 0 in order of batches and, within one, of ``order``.
+
+    ``order`` names columns that say where a row stands in its source; rows that agree in all of them,
+    like the lines of one split of a file, keep the order in which they are read. A batch starts
+    where the one before ended: each leaves one row with its end, so however long the stream
+    runs, a batch looks at one earlier row. A batch that is repeated finds the same start and
+    overwrites its rows and its end. With ``n`` nothing after the first ``n`` arrivals is written.
     """
-    spark = lines.sparkSession
+    spark, ends = rows.sparkSession, f"{table}/{ENDS}"
     tables.prepare(spark, table, ARRIVALS)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = [k for k in tables.finished(spark, table) if k < batch_id]
-        start = tables.read(spark, table, ARRIVALS, before).count()  # from the footers
-        batch = batch.withColumn("line", F.monotonically_increasing_id())
-        if n is not None and start >= n:
-            rows = spark.createDataFrame([], ARRIVALS)
-        else:
-            rows = number_arrivals(batch, "item", ["path", "offset", "line"], start)
-            rows = rows if n is None else rows.filter(F.col("arrival") < n)
-        rows.write.mode("overwrite").parquet(tables.partition(table, batch_id))
-    return lines.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
+        # at most the two that are kept
+        earlier = [k for k in tables.finished(spark, ends) if k < batch_id][-1:]
+        start = tables.read(spark, ends, END, earlier).first()["end"] if earlier else 0
+        made = spark.createDataFrame([], ARRIVALS)
+        if n is None or start < n:
+            made = number_arrivals(batch.withColumn("line", F.monotonically_increasing_id()), "item", [*order, "line"], start)
+            made = made if n is None else made.filter(F.col("arrival") < n)
+        made.write.mode("overwrite").parquet(tables.partition(table, batch_id))
+        written = tables.read(spark, table, ARRIVALS, [batch_id]).count()  # from the footers
+        spark.createDataFrame([(start + written,)], END).coalesce(1).write.mode("overwrite").parquet(tables.partition(ends, batch_id))
+        tables.drop(spark, ends, [k for k in tables.finished(spark, ends) if k < batch_id - 1])
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
+
+
+def arrived(spark: SparkSession, table: str) -> int:
+    """How many rows ``numbered`` has numbered so far, from its last end."""
+    ends = f"{table}/{ENDS}"
+    last = tables.finished(spark, ends)[-1:]
+    return tables.read(spark, ends, END, last).first()["end"] if last else 0
 
 
 def append(stream: DataFrame, table: str, checkpoint: str, trigger: dict = TO_THE_END) -> StreamingQuery:

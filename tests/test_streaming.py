@@ -131,12 +131,63 @@ def test_text_items_are_numbered(spark, tmp_path, per_batch):
     assert sorted(map(tuple, streams.read_numbered(spark, short).collect())) == want[:33]
 
 
+def _counted_reads(monkeypatch):
+    """How many earlier partitions each batch looks at."""
+    reads, plain = [], tables.read
+
+    def read(spark, table, schema, batch_ids=None):
+        if table.endswith(streams.ENDS):
+            reads.append(batch_ids)
+        return plain(spark, table, schema, batch_ids)
+    monkeypatch.setattr(tables, "read", read)
+    return reads
+
+
+def test_a_batch_reads_one_earlier_row_however_many_there_were(spark, tmp_path, monkeypatch):
+    _lines(tmp_path / "in", 40, 80)
+    to, reads = str(tmp_path / "out"), _counted_reads(monkeypatch)
+    query = streams.numbered(streams.read_lines(spark, str(tmp_path / "in"), files_per_batch=1), to, str(tmp_path / "progress"))
+    query.awaitTermination()
+    assert reads[:39] == [[k] for k in range(39)]
+    assert len(tables.finished(spark, f"{to}/{streams.ENDS}")) == 2 and streams.arrived(spark, to) == 80
+    assert sorted(map(tuple, streams.read_numbered(spark, to).collect())) == [(i, (7 * i) % 13) for i in range(80)]
+
+
+def test_numbering_by_position_in_the_source(spark, tmp_path):
+    """Rows of several partitions of a topic, as a queue gives them."""
+    rows = [(topic, part, offset, 100 * part + offset) for topic in ("a", "b") for part in (1, 0) for offset in (2, 0, 1)]
+    folder, to = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "topic string, partition int, offset long, value long"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    order = ("topic", "partition", "offset")
+    streams.numbered(streams.read_positions(stream, "value", *order), to, str(tmp_path / "p"), order=order).awaitTermination()
+    assert [r.item for r in streams.read_numbered(spark, to).orderBy("arrival").collect()] == [r[3] for r in sorted(rows)]
+
+
+def test_numbering_goes_on_after_a_restart_and_repeats_a_batch(spark, tmp_path):
+    _lines(tmp_path / "in", 3, 30)
+    to, read = str(tmp_path / "out"), lambda: streams.read_lines(spark, str(tmp_path / "in"), files_per_batch=1)
+    streams.numbered(read(), to, str(tmp_path / "first")).awaitTermination()
+    want = sorted(map(tuple, streams.read_numbered(spark, to).collect()))
+    (tmp_path / "in" / "late.txt").write_text("5\n6\n")
+    streams.numbered(read(), to, str(tmp_path / "first")).awaitTermination()
+    assert sorted(map(tuple, streams.read_numbered(spark, to).collect())) == want + [(30, 5), (31, 6)]
+    # the last batch failed before its end was written
+    tables.drop(spark, f"{to}/{streams.ENDS}", [3])
+    assert streams.arrived(spark, to) == 30
+    (tmp_path / "first" / "commits" / "3").unlink()
+    (tmp_path / "first" / "commits" / ".3.crc").unlink(missing_ok=True)
+    streams.numbered(read(), to, str(tmp_path / "first")).awaitTermination()
+    assert sorted(map(tuple, streams.read_numbered(spark, to).collect())) == want + [(30, 5), (31, 6)] and streams.arrived(spark, to) == 32
+
+
 def test_a_running_stream_stops_after_n(spark, tmp_path):
     _lines(tmp_path / "in", 3, 60)
     to = str(tmp_path / "out")
     lines = streams.read_lines(spark, str(tmp_path / "in"), files_per_batch=1)
     query = streams.numbered(lines, to, str(tmp_path / "progress"), n=30, trigger={"processingTime": "0 seconds"})
-    streams.until(query, lambda: streams.read_numbered(spark, to).count(), 30)
+    streams.until(query, lambda: streams.arrived(spark, to), 30)
     assert not query.isActive and streams.read_numbered(spark, to).count() == 30
 
 
