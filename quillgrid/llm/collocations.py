@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgrid.llm.tables import forget, stored
-from quillgrid.llm.text import LOWER, ROWS, UPPER, raw
+from quillgrid.llm.text import LOWER, UPPER, raw
 
 LONGEST, LEAST, TOP = 4, 30, 2000   # words of a phrase, its frequency, phrases of a language
 KEPT, OF = 80, 100                  # a phrase goes if a longer one has this share of its frequency
@@ -40,9 +40,11 @@ BORDER = b"\xff"                    # stands in no UTF-8 text
 PIECES = bytes.maketrans(UPPER.encode() + b".,;:!?\n\v\f\r", LOWER.encode() + BORDER * 10)
 ID_BITS = 31                        # of a word's or a phrase's number
 SHARD = 1 << 18                     # words or phrases that are broadcast at once
-HELD = 1 << 19                      # words a task counts before it hands them on
-POSITIONS = 1 << 21                 # text positions whose proposals a task counts before it hands them on
+HELD = 1 << 17                      # words a task counts before it hands them on
+POSITIONS = 1 << 19                 # text positions whose proposals a task counts before it hands them on
+DOCUMENTS = 128                     # of a block
 OUT = 1 << 16                       # rows of a batch
+GROUP = 1 << 23                     # bytes of blocks that a reader or writer holds at once
 
 
 def words(text: bytes) -> list[bytes]:
@@ -56,8 +58,8 @@ def _languages(batch: pa.RecordBatch) -> list[str]:
 
 def _parts(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in them:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        for at in range(0, batch.num_rows, DOCUMENTS):
+            yield batch.slice(at, DOCUMENTS)
 
 
 def _batches(**columns: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -82,8 +84,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for part in _parts(them):
             for lang, text in zip(_languages(part), raw(part)):
                 sums[lang].update(words(text))
-            if sum(map(len, sums.values())) > HELD:
-                yield from flush()
+                if sum(map(len, sums.values())) > HELD:
+                    yield from flush()
         yield from flush()
     rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(counted, "lang string, n long, word string")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -139,7 +141,7 @@ def coded(docs: DataFrame, vocabulary: DataFrame, shards: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [part.column("lang"), part.column("text"), pa.array([x.tobytes() for x in found], pa.binary())], names=["lang", "text", "x"])
         before = texts
-        texts = stored(texts.mapInArrow(numbers, "x binary, s binary" if last else "lang string, text string, x binary"), "blocks")
+        texts = stored(texts.mapInArrow(numbers, "x binary, s binary" if last else "lang string, text string, x binary"), "blocks", GROUP)
         if shard:
             forget(before)
         names.destroy()
@@ -280,7 +282,7 @@ def with_states(blocks: DataFrame, made: DataFrame, shards: int, digits: int, le
                 states = states + more[0] if more else states        # a phrase is in one trie
                 columns = [x, states] if last else [x, before, states]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["x", "s", "t"][:len(columns)])
-        older, out = out, stored(out.mapInArrow(step, "x binary, s binary" if last else "x binary, s binary, t binary"), "blocks")
+        older, out = out, stored(out.mapInArrow(step, "x binary, s binary" if last else "x binary, s binary, t binary"), "blocks", GROUP)
         if older is not blocks:
             forget(older)
         arrays.destroy()

@@ -5,10 +5,13 @@ from pyspark.sql import DataFrame
 from quillgrid.plans.lineage import fresh_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: nothing before it is computed again."""
+def stored(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: nothing before it is computed again.
+
+    ``group`` is the size of the row groups in bytes, which tasks hold at once.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write if group is None else df.write.option("parquet.block.size", group)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
