@@ -87,11 +87,14 @@ def reservoir(stream: DataFrame, f: Frequency) -> DataFrame:
     takes over a random slot. As draws depend on the arrival alone, the sample is the
     last arrival of each slot: only about m*ln(n/m) accepted rows are aggregated.
     """
-    m = F.lit(f.sample_size)
-    kept = first_arrivals(stream, f.n).filter((F.col("arrival") < m) | (draw(ACCEPT) <= m / (F.col("arrival") + 1)))
-    slot = F.when(F.col("arrival") < m, F.col("arrival")).otherwise(F.floor(draw(SLOT) * m))
-    return kept.groupBy(slot.alias("slot")).agg(
-        F.max_by("item", "arrival").alias("item"), F.max("arrival").alias("arrival"))
+    kept = first_arrivals(stream, f.n).withColumn("slot", entered(f)).filter("slot is not null")
+    return kept.groupBy("slot").agg(F.max_by("item", "arrival").alias("item"), F.max("arrival").alias("arrival"))
+
+
+def entered(f: Frequency) -> Column:
+    """The slot of the reservoir that an arrival takes, null if it does not enter."""
+    m, t = F.lit(f.sample_size), F.col("arrival")
+    return F.when(t < m, t).when(draw(ACCEPT) <= m / (t + 1), F.floor(draw(SLOT) * m))
 
 
 def sampled(sample: DataFrame) -> DataFrame:

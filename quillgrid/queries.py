@@ -118,19 +118,12 @@ def _frequent_stream(start, read):
     return run
 
 
-def _from_streams(summary):
-    """Histogram, reservoir and sticky table kept by three streams at once, then summed up."""
+def _from_one_stream(summary):
+    """Histogram, reservoir and sticky table kept by one stream, then summed up."""
     def run(spark, sf):
         f = frequency(spark, sf)
-        source = streams.read_items(spark, sf, "user_id", "event_id", "events.parquet")
-        to, progress = ([fresh_path(spark, what) for _ in range(3)] for what in ("table", "progress"))
-        started = [start(source, f, table, folder) for start, table, folder in zip(
-            (streams.stream_histogram, streams.stream_reservoir, streams.stream_sticky), to, progress)]
-        for query, folder in zip(started, progress):
-            query.awaitTermination()
-            stream_tables.remove(spark, folder)
-        return summary(streams.read_histogram(spark, to[0]), streams.read_reservoir(spark, to[1]),
-                       streams.read_sticky(spark, to[2]), f)
+        found = _streamed(spark, sf, lambda v, t, c: streams.stream_summaries(v, f, t, c), streams.read_summaries)
+        return summary(*found, f)
     return run
 
 
@@ -234,7 +227,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sticky_counts_stream": _frequent_stream(streams.stream_sticky, streams.read_sticky),
         "frequent_sticky": _on_items(hitters.frequent_sticky),
         "frequent_flags": _on_items(hitters.frequent_flags),
-        "frequent_flags_stream": _from_streams(hitters.flags),
+        "frequent_flags_stream": _from_one_stream(hitters.flags),
         "heavy_hitter_report": _on_items(hitters.report),
-        "heavy_hitter_report_stream": _from_streams(hitters.sizes),
+        "heavy_hitter_report_stream": _from_one_stream(hitters.sizes),
     }

@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillgrid.operators.hitters import (
-    Frequency, bounded, by_blocks, first_arrivals, first_tracked, histogram, is_bounded, reservoir)
+from quillgrid.operators.hitters import Frequency, histogram, reservoir
 from quillgrid.sources.items import items, number_arrivals, parse_items
-from quillgrid.streaming import tables
+from quillgrid.streaming import keyed, tables
 
 ARRIVALS, HISTOGRAM, RESERVOIR = "arrival long, item long", "item long, n long", "slot long, item long, arrival long"
-STICKY = "item long, first long, n long"   # the row without an item carries the last arrival
+STICKY, SUMMARIES = HISTOGRAM, "kind int, key long, a long, b long"
 TO_THE_END = {"availableNow": True}
 COMPACTED = 20                             # partitions of an update table that are made one
 
@@ -156,54 +155,35 @@ def read_reservoir(spark: SparkSession, table: str) -> DataFrame:
     return _latest_slots(tables.read(spark, table, RESERVOIR))
 
 
-def stream_sticky(stream: DataFrame, f: Frequency, table: str, checkpoint: str, trigger: dict = TO_THE_END) -> StreamingQuery:
-    """Sticky sampling with its table of about r rows carried from batch to batch.
+def stream_sticky(stream: DataFrame, f: Frequency, table: str, checkpoint: str, **options) -> StreamingQuery:
+    """Sticky sampling with one number of keyed state for each tracked item.
 
-    Within a batch rows may come in any order and partition. Items tracked before count
-    all their rows; newly tracked ones are counted against a broadcast of them, or by
-    blocks of arrivals if they are many. Either way rows are summed before they are
-    shuffled, so an item that fills a third of a batch is no burden. Across batches
-    arrivals must be in order; a batch that goes back stops the query. The table after a
-    batch depends only on the one before and on the batch, which makes repeated batches
-    harmless; only the last two are kept.
+    A batch writes the items it counted, not the table. Within a batch rows may come in any
+    order and partition; across batches arrivals must be in order, and one that goes back stops the query.
     """
-    spark = stream.sparkSession
-    tables.prepare(spark, table, STICKY)  # what batch 0 starts from
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            earlier = [k for k in tables.finished(spark, table) if k < batch_id]
-            state = tables.read(spark, table, STICKY, earlier[-1:])
-            until_now = state.filter("item is null").agg(F.max("first")).first()[0]
-            low, high = batch.agg(F.min("arrival"), F.max("arrival")).first()
-            if low is not None and until_now is not None and low <= until_now:
-                raise ValueError(f"arrival {low} came after arrival {until_now}")
-            before = state.filter("item is not null")
-            after = _counted(batch, before, f)
-            last = spark.createDataFrame([(None, until_now if high is None else high, 0)], STICKY)
-            after.unionByName(last).write.mode("overwrite").parquet(tables.partition(table, batch_id))
-        finally:
-            batch.unpersist()
-        tables.drop(spark, table, earlier[:-1])
-
-    return (first_arrivals(stream, f.n).writeStream.option("checkpointLocation", checkpoint)
-            .trigger(**trigger).foreachBatch(step).start())
-
-
-def _counted(batch: DataFrame, before: DataFrame, f: Frequency) -> DataFrame:
-    totals = batch.groupBy("item").agg(F.count("*").alias("more"))
-    older = before.join(totals, "item", "left").select(
-        "item", "first", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-    fresh = first_tracked(batch, f).join(before.select("item"), "item", "left_anti")
-    if is_bounded(f):
-        counts = (batch.join(bounded(fresh, f), "item").filter("arrival >= first")
-                  .groupBy("item").agg(F.min("first").alias("first"), F.count("*").alias("n")))
-    else:
-        counts = fresh.join(by_blocks(batch, f), "item")
-    return older.unionByName(counts.select("item", "first", "n"))
+    return updates(keyed.sticky_updates(stream, f), table, checkpoint, _latest_counts, **options)
 
 
 def read_sticky(spark: SparkSession, table: str) -> DataFrame:
-    """The table after the last batch that finished."""
-    return tables.read(spark, table, STICKY, tables.finished(spark, table)[-1:]).filter("item is not null").select("item", "n")
+    return _latest_counts(tables.read(spark, table, STICKY))
+
+
+def _latest_summaries(rows: DataFrame) -> DataFrame:
+    """Counts and the arrivals of slots only grow."""
+    return (rows.groupBy("kind", "key").agg(F.max(F.when(F.col("kind") == keyed.ITEM, F.col("a"))).alias("n"),
+                                            F.max_by("a", "b").alias("last"), F.max("b").alias("b"))
+            .select("kind", "key", F.coalesce("n", "last").alias("a"), "b"))
+
+
+def stream_summaries(stream: DataFrame, f: Frequency, table: str, checkpoint: str, **options) -> StreamingQuery:
+    """Histogram, reservoir and sticky table kept by one query that reads its source once."""
+    return updates(keyed.summary_updates(stream, f), table, checkpoint, _latest_summaries, **options)
+
+
+def read_summaries(spark: SparkSession, table: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(item, n)``, ``(slot, item, arrival)`` and ``(item, n)`` of the three structures."""
+    rows = _latest_summaries(tables.read(spark, table, SUMMARIES))
+    items_, slots = rows.filter(F.col("kind") == keyed.ITEM), rows.filter(F.col("kind") == keyed.SLOT)
+    return (items_.select(F.col("key").alias("item"), F.col("a").alias("n")),
+            slots.select(F.col("key").alias("slot"), F.col("a").alias("item"), F.col("b").alias("arrival")),
+            items_.filter(F.col("b") != keyed.UNTRACKED).select(F.col("key").alias("item"), F.col("b").alias("n")))

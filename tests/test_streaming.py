@@ -1,6 +1,7 @@
 """However a stream is cut into files, and wherever it stops, it ends where the batch does."""
 
 import os
+import random
 
 import pytest
 
@@ -8,7 +9,7 @@ import quillgrid.operators.hitters as h
 from conftest import MIDDLE
 from quillgrid import queries as q
 from quillgrid.streaming import items as streams
-from quillgrid.streaming import tables
+from quillgrid.streaming import keyed, tables
 
 F5000 = h.Frequency(5000, 0.008, 0.002, 0.1)
 JOBS = {
@@ -65,16 +66,63 @@ def test_nothing_arrived_in_time(spark, tmp_path):
         assert read(spark, to + name).count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 4])
-def test_sticky_without_broadcast(spark, tmp_path, monkeypatch, parts):
-    monkeypatch.setattr(h, "BROADCAST_TRACKED", 0)
+def _all_three(spark, folder, to, checkpoint, f=F5000):
+    source = streams.read_items(spark, folder, "user_id", "event_id", files_per_batch=1)
+    query = streams.stream_summaries(source, f, to, checkpoint)
+    query.awaitTermination()
+    return query
+
+
+@pytest.mark.parametrize("parts, bits", [(1, 16), (2, 4), (7, 9)])
+def test_one_stream_keeps_all_three(spark, tmp_path, monkeypatch, parts, bits):
+    """Whatever the blocks, the files and the restarts."""
+    monkeypatch.setattr(keyed, "BLOCK_BITS", bits)
     folder, to, checkpoint = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    want = [sorted(job(q.event_items(spark, MIDDLE), F5000).collect()) for job in (h.histogram, h.reservoir, h.sticky)]
     for part in range(parts):
         feed(spark, folder, part, parts)
-    run(spark, streams.stream_sticky, folder, to, checkpoint)
-    got = sorted(streams.read_sticky(spark, to).collect())
-    monkeypatch.undo()
-    assert got == sorted(h.sticky(q.event_items(spark, MIDDLE), F5000).collect())
+        if part in (0, parts - 1):
+            _all_three(spark, folder, to, checkpoint)
+    assert [sorted(df.collect()) for df in streams.read_summaries(spark, to)] == want
+
+
+def _rows(spark, table):
+    return {k: spark.read.parquet(tables.partition(table, k)).count() for k in tables.finished(spark, table)}
+
+
+def test_a_batch_writes_what_it_counted(spark, tmp_path):
+    """A batch of few items writes few rows, however many are tracked."""
+    folder, to, checkpoint = (str(tmp_path / d) for d in ("in", "out", "progress"))
+    everything = h.Frequency(100_000, 0.008, 0.002, 0.1)       # all that fits is tracked soon
+    feed(spark, folder, 0, 1)
+    spark.createDataFrame([(10_000 + k, k % 2) for k in range(5000)], "event_id long, user_id long").coalesce(1).write.mode("append").parquet(folder)
+    run(spark, streams.stream_sticky, folder, to, checkpoint, everything)
+    rows = _rows(spark, to)
+    assert rows[0] > 100 and rows[1] == 2
+    batch = spark.read.parquet(folder).selectExpr("event_id as arrival", "user_id as item")
+    assert sorted(streams.read_sticky(spark, to).collect()) == sorted(h.sticky(batch, everything).collect())
+
+
+@pytest.mark.parametrize("bits", [3, 16])
+def test_rows_of_a_batch_in_any_order_and_a_hot_item(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(keyed, "BLOCK_BITS", bits)
+    folder, to = str(tmp_path / "in"), str(tmp_path / "out")
+    f = h.Frequency(3000, 0.05, 0.04, 0.5)                      # a rate of about 3 per cent
+    rows = [(k, 7 if k % 3 else k % 50) for k in range(3500)]
+    late, early = rows[1800:], rows[:1800]
+    for part in (early, late):
+        df = spark.createDataFrame(random.Random(2).sample(part, len(part)), "event_id long, user_id long").repartition(1)
+        df.write.mode("append").parquet(folder)
+    run(spark, streams.stream_sticky, folder, to, str(tmp_path / "progress"), f)
+    batch = spark.createDataFrame(rows, "arrival long, item long")
+    assert sorted(streams.read_sticky(spark, to).collect()) == sorted(h.sticky(batch, f).collect())
+
+
+def test_an_arrival_without_an_item(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([(0, 1), (1, None)], "event_id long, user_id long").write.parquet(folder)
+    with pytest.raises(Exception, match="without a number or an item"):
+        run(spark, streams.stream_sticky, folder, str(tmp_path / "out"), str(tmp_path / "progress"))
 
 
 def test_arrivals_that_go_back(spark, tmp_path):
@@ -93,10 +141,9 @@ def test_tables_stay_small(spark, tmp_path):
         feed(spark, folder, part, 12)
     for name, (start, read, batch) in JOBS.items():
         to = str(tmp_path / name)
-        options = {} if name == "sticky" else {"compacted": 4}
         source = streams.read_items(spark, folder, "user_id", "event_id", files_per_batch=1)
-        start(source, F5000, to, str(tmp_path / f"{name}-progress"), **options).awaitTermination()
-        assert len(tables.finished(spark, to)) <= (2 if name == "sticky" else 5)
+        start(source, F5000, to, str(tmp_path / f"{name}-progress"), compacted=4).awaitTermination()
+        assert len(tables.finished(spark, to)) <= 5
         assert sorted(read(spark, to).collect()) == sorted(batch(q.event_items(spark, MIDDLE), F5000).collect())
 
 
@@ -105,7 +152,7 @@ def test_a_partition_without_its_mark_does_not_count(spark, tmp_path):
     feed(spark, folder, 0, 1)
     run(spark, streams.stream_sticky, folder, to, str(tmp_path / "progress"))
     want = sorted(streams.read_sticky(spark, to).collect())
-    spark.createDataFrame([(1, 1, 999)], streams.STICKY).write.parquet(tables.partition(to, 7))
+    spark.createDataFrame([(1, 999)], streams.STICKY).write.parquet(tables.partition(to, 7))
     (tmp_path / "out" / "batch_id=7" / "_SUCCESS").unlink()
     assert sorted(streams.read_sticky(spark, to).collect()) == want
 
