@@ -10,7 +10,10 @@ neighbour point by point, and every join key has a bounded number of rows.
 """
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +27,8 @@ WIDTH = 2             # of a cell, in distances: a disc then meets 3.8 cells, no
 LEAF_PAIRS = 1 << 16  # point pairs of two cells that are compared one by one; below HOT_FLOOR
 SPLIT_BITS = 2        # 4x4 parts per split
 DEEPEST = 26          # splits; the smallest parts are then the spacing of doubles
-TASK_TESTS = 1 << 24  # point pairs compared by one task
+TASK_TESTS = 1 << 27  # point pairs compared by one task
+MATRIX, SMALL = 1 << 20, 1 << 12  # point pairs compared at once; pairs of cells up to the latter share that
 MOST_TASKS = 100_000
 SCAN_TESTS = 100      # comparisons per point that a scan may take on
 
@@ -89,21 +93,79 @@ def _added(queries, data, pairs, leaf, rows, tests, limit, a_size, b_size, hot_a
     def of_leaves(points, side_of, size):
         names = pairs.filter(leaf).select(F.col(f"{side_of}_i").alias("i"), F.col(f"{side_of}_j").alias("j")).distinct()
         return points.join(F.broadcast(names) if size.cells <= BROADCAST_ROWS else names, ["i", "j"], "left_semi")
-    facing = (of_leaves(outside_hot(queries, hot_a), "a", a_size).join(leaves, ["i", "j"])
-              .filter(nearest_between(point_box(F.col("x"), F.col("y")), box("b_")) <= F.lit(limit))
-              .select("id", "x", "y", F.col("b_i").alias("i"), F.col("b_j").alias("j")))
-    other = of_leaves(outside_hot(data, hot_b), "b", b_size).select("i", "j", F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+    mine, other = of_leaves(outside_hot(queries, hot_a), "a", a_size), of_leaves(outside_hot(data, hot_b), "b", b_size)
+    nowhere = F.lit(None).cast("double")
     if rows <= BROADCAST_ROWS and tests <= SCAN_TESTS * b_size.points:
-        facing = F.broadcast(facing)
+        facing = (mine.join(leaves, ["i", "j"])
+                  .filter(nearest_between(point_box(F.col("x"), F.col("y")), box("b_")) <= F.lit(limit))
+                  .select("id", "x", "y", F.col("b_i").alias("i"), F.col("b_j").alias("j")))
+        other = other.select("i", "j", F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+        d2 = squared_distance(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"))
+        close = other.join(F.broadcast(facing), ["i", "j"]).filter(d2 <= F.lit(limit)).select("id", F.lit(1).cast("long").alias("n"))
     else:
         # by the comparisons to make: the bytes, which size shuffles otherwise, say little
         tasks = max(_tasks(queries.sparkSession), min(MOST_TASKS, int(tests / TASK_TESTS)))
-        facing, other = facing.repartition(tasks, "i", "j"), other.repartition(tasks, "i", "j")
-    d2 = squared_distance(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"))
-    close = other.join(facing, ["i", "j"]).filter(d2 <= F.lit(limit))
-    nowhere = F.lit(None).cast("double")
-    return whole.unionByName(
-        close.select("id", nowhere.alias("x"), nowhere.alias("y"), F.lit(1).cast("long").alias("n")))
+        close = _compared(leaves, mine, other, tasks, limit)
+    return whole.unionByName(close.select("id", nowhere.alias("x"), nowhere.alias("y"), "n"))
+
+
+def _packed(points: DataFrame, side: str, *columns: str) -> DataFrame:
+    """One row for each leaf cell with all of its points, at most ``LEAF_PAIRS``."""
+    return points.groupBy(F.col("i").alias(f"{side}_i"), F.col("j").alias(f"{side}_j")).agg(
+        F.collect_list(F.struct(*columns)).alias(side))
+
+
+def _compared(leaves: DataFrame, queries: DataFrame, data: DataFrame, tasks: int, limit: float) -> DataFrame:
+    """``id, n``: a row for each query point and facing cell that has points in its reach.
+
+    The points of two cells meet as two arrays in one row and are compared in numpy, in the
+    arithmetic of ``squared_distance``, so a pair of points is never a row.
+    """
+    met = (leaves.select(F.col("i").alias("a_i"), F.col("j").alias("a_j"), "b_i", "b_j")
+           .join(_packed(queries, "a", "id", "x", "y"), ["a_i", "a_j"])
+           .repartition(tasks, "b_i", "b_j")
+           .join(_packed(data, "b", "x", "y").repartition(tasks, "b_i", "b_j"), ["b_i", "b_j"]).select("a", "b"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b")
+            a_at, b_at = (c.offsets.to_numpy() - c.offsets[0].as_py() for c in (a, b))
+            a, b = a.flatten(), b.flatten()
+            ids, x, y = (a.field(c).to_numpy() for c in ("id", "x", "y"))
+            n = _close_pairs(x, y, a_at, b.field("x").to_numpy(), b.field("y").to_numpy(), b_at, limit)
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some])], names=["id", "n"])
+    return met.mapInArrow(counted, "id long, n long")
+
+
+def _close_pairs(ax, ay, a_at, bx, by, b_at, limit: float) -> np.ndarray:
+    """For each point of ``a`` the points in reach in the run of ``b`` that faces its own run."""
+    out = np.zeros(len(ax), np.int64)
+    a_size, b_size = np.diff(a_at), np.diff(b_at)
+    work = a_size * b_size
+    # small runs all at once, some MATRIX pairs at a time
+    small = np.flatnonzero(work <= SMALL)
+    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(work[small]) // MATRIX)) + 1):
+        mine = _ranges(a_at[part], a_size[part])
+        facing = np.repeat(b_size[part], a_size[part])
+        i = np.repeat(mine, facing)
+        j = _ranges(np.repeat(b_at[part], a_size[part]), facing)
+        dx, dy = ax[i] - bx[j], ay[i] - by[j]
+        out += np.bincount(i[dx * dx + dy * dy <= limit], minlength=len(out))
+    for run in np.flatnonzero(work > SMALL):
+        x, y = bx[b_at[run]:b_at[run + 1]], by[b_at[run]:b_at[run + 1]]
+        step = max(1, MATRIX // len(x))
+        for low in range(a_at[run], a_at[run + 1], step):
+            high = min(low + step, a_at[run + 1])
+            dx, dy = ax[low:high, None] - x, ay[low:high, None] - y
+            out[low:high] = np.count_nonzero(dx * dx + dy * dy <= limit, axis=1)
+    return out
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size says."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def _tasks(spark: SparkSession) -> int:
