@@ -42,7 +42,7 @@ ID_BITS = 31                        # of a word's or a phrase's number
 SHARD = 1 << 18                     # words or phrases that are broadcast at once
 HELD = 1 << 17                      # words a task counts before it hands them on
 POSITIONS = 1 << 19                 # text positions whose proposals a task counts before it hands them on
-DOCUMENTS = 128                     # of a block
+DOCUMENTS = 32                      # of a block
 OUT = 1 << 16                       # rows of a batch
 GROUP = 1 << 23                     # bytes of blocks that a reader or writer holds at once
 

@@ -8,10 +8,12 @@ from quillgrid.plans.lineage import fresh_path
 def stored(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: nothing before it is computed again.
 
-    ``group`` is the size of the row groups in bytes, which tasks hold at once.
+    ``group`` is for rows of large binary values: the size in bytes of the row groups, which tasks hold at
+    once, and a page then has few rows, as writers only look at its size after a hundred.
     """
     path = fresh_path(df.sparkSession, name)
-    (df.write if group is None else df.write.option("parquet.block.size", group)).parquet(path)
+    options = {} if group is None else {"parquet.block.size": group, "parquet.page.row.count.limit": 16}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
