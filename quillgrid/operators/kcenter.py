@@ -6,7 +6,6 @@ the last few, and brings only that center to the driver.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,8 @@ CENTERS = pa.schema({"rank": pa.int32(), "id": pa.int64(), "x": pa.float64(), "y
 CARRIED = 8                 # centers after which the distances to them are written down
 COLLECTED_ROWS = 100_000    # centers of all groups that may come to the driver, one round at a time
 BROADCAST_GROUPS = 100_000  # one row of at most CARRIED centers per group on every executor
-BLOCK_ROWS = 1_000_000      # points of one block in a Python worker, 24 bytes each
+SPLIT_WIDTH = 1_000_000     # points of one split in a Python worker, 40 bytes each
+FAN = 16                    # coresets that are merged at once
 
 Centers = list[tuple[int, float, float]]
 
@@ -128,54 +128,75 @@ def coreset(points: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def _block_centers(block: pd.DataFrame, k: int) -> pd.DataFrame:
-    block = block.sort_values("id", kind="stable")
-    x, y = block["x"].to_numpy(), block["y"].to_numpy()
-    rows, d2, at = [], np.full(len(block), np.inf), 0
-    while len(rows) < k and d2[at] > 0:
-        rows.append(at)
-        np.minimum(d2, (x - x[at]) ** 2 + (y - y[at]) ** 2, out=d2)
-        at = int(d2.argmax())
-    return block.iloc[rows]
+COVER = "node long, rank int, id long, x double, y double, n long, radius double"
 
 
-def coreset_by_split(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Farthest-first inside each input split: ``(id, x, y)``, one pass, no shuffle.
+def _covers(points: DataFrame, k: int) -> DataFrame:
+    """Farthest-first inside each ``node`` of ``(node, id, x, y, n, radius)``, with what each center stands for.
 
-    A split leaves ``k`` centers whatever its size, or its distinct points if they are
-    fewer. It is taken in blocks of about ``block_rows`` points, so that a worker holds one
-    block and the centers of those before; a split of several blocks is traversed once more
-    over their centers. That adds a level of nesting: every point then lies within 4 times
-    the best radius of a center of its split, not 2 times, and the centers of all
-    splits' centers within 8 times the best, not 4 times.
+    A row goes to its nearest center, the lowest rank on ties. A center stands for the ``n`` of its rows,
+    and none of what they stand for is farther from it than ``radius``.
+    """
+    def covered(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x, y, n, radius = (table.column(c).to_numpy() for c in ("x", "y", "n", "radius"))
+        rows, d2, mine, at = [], np.full(len(x), np.inf), np.zeros(len(x), np.int64), 0
+        while len(rows) < k and d2[at] > 0:
+            new = (x - x[at]) * (x - x[at]) + (y - y[at]) * (y - y[at])
+            mine[new < d2] = len(rows)
+            rows.append(at)
+            np.minimum(d2, new, out=d2)
+            at = int(d2.argmax())
+        reach, stands = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+        np.maximum.at(reach, mine, np.sqrt(d2) + radius)
+        np.add.at(stands, mine, n)
+        centers = table.take(rows)
+        return pa.table({"node": centers.column("node"), "rank": pa.array(range(len(rows)), pa.int32()), "id": centers.column("id"),
+                         "x": centers.column("x"), "y": centers.column("y"), "n": stands, "radius": reach})
+    return points.select("node", "id", "x", "y", "n", "radius").groupBy("node").applyInArrow(covered, COVER)
+
+
+def split_coresets(points: DataFrame, k: int, width: int = SPLIT_WIDTH) -> DataFrame:
+    """A coreset of each split: ``(node, rank, id, x, y, n, radius)``, ``k`` centers for ``width`` consecutive ids.
+
+    As ids are unique, a split has at most ``width`` points, in one task. Splits follow from the ids
+    alone, whatever the partitions, and are counted from the lowest one.
     """
     checks.whole("k", k, 1)
-    checks.whole("block_rows", block_rows, 1)
+    checks.whole("width", width, 1)
+    low = points.agg(F.min("id").alias("low")).first().low or 0
+    from_low = F.col("id") - F.lit(low)
+    return _covers(points.select(((from_low - F.pmod(from_low, F.lit(width))) / width).cast("long").alias("node"), "id", "x", "y",
+                                 F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("radius")), k)
 
-    def centers(batches):
-        held, found, rows = [], [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= block_rows:
-                found.append(_block_centers(pd.concat(held), k))
-                held, rows = [], 0
-        if rows:
-            found.append(_block_centers(pd.concat(held), k))
-        if found:
-            yield found[0] if len(found) == 1 else _block_centers(pd.concat(found), k)
 
-    plane = points.select("id", "x", "y")
-    return plane.mapInPandas(centers, "id long, x double, y double")
+def merged_coresets(coresets: DataFrame, k: int, fan: int = FAN) -> DataFrame:
+    """One cover of the whole, in the form of ``split_coresets``, from the coresets of its splits.
+
+    ``fan`` neighbouring nodes become one, again and again, and ``k`` centers of their centers stay. Radii
+    add up on the way, so every point is within ``radius`` of the center that stands for it, which
+    the points can prove or disprove. No task sees more than ``fan * k`` rows.
+    """
+    checks.whole("k", k, 1)
+    checks.whole("fan", fan, 2)
+    coresets = cut(coresets)    # K rows for each split: the points are read once
+    last = coresets.agg(F.max("node").alias("last")).first().last or 0
+    while last > 0:
+        up = F.col("node")
+        coresets = _covers(coresets.withColumn("node", ((up - F.pmod(up, F.lit(fan))) / fan).cast("long")), k)
+        last //= fan
+    return coresets
 
 
 def coreset_centers(points: DataFrame, k: int, parts: int | None = None) -> Centers:
-    """Centers of the whole from the centers of its parts, within four times the optimum.
+    """Centers of the whole from the centers of its parts.
 
-    ``parts`` divides the points by id, reproducibly; without it each input split is a part.
+    ``parts`` divides the points by id, reproducibly, and gives centers within four times the optimum;
+    without it they come from a tree of splits, see ``merged_coresets``.
     """
     if parts is None:
-        return farthest_first(cut(coreset_by_split(points, k)), k)
+        found = merged_coresets(split_coresets(points, k), k)
+        return [(r.id, r.x, r.y) for r in found.orderBy("rank").select("id", "x", "y").collect()]    # at most k
     return farthest_first(coreset(by_id(points, parts), k), k)
 
 

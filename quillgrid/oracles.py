@@ -5,6 +5,7 @@ import math
 
 from quillgrid import queries as q
 from quillgrid.functions.geometry import cell_side
+from quillgrid.operators.kcenter import FAN
 
 
 def _d(value: float) -> str:
@@ -113,12 +114,32 @@ def _nearest(name: str) -> str:
                            from {name} p, centers c group by p.id)"""
 
 
-def _split(centers: int) -> str:
-    """Centers of any split of O are points of it, and all points lie within 4 times the radius of a plain traversal."""
-    k = q.K_ORDERS
-    return f"""with {O}, {_chain('o', 'c', k)}, centers as ({_centers('c', k)}), {_nearest('o')}
-        select {centers}::bigint as centers, {centers}::bigint as of_the_points,
-               (select sqrt(max(d2)) from nearest) as plain_radius, count(*) as covered from o"""
+def _covers(source: str, prefix: str, k: int) -> str:
+    """Farthest-first in each node of ``source``, and what the centers stand for, as ``{prefix}_t``."""
+    parts = [f"{prefix}0 as materialized (select node, id, x, y from {source} qualify row_number() over (partition by node order by id) = 1)"]
+    for r in range(1, k):
+        before = [f"{prefix}{c}" for c in range(r)]
+        near = "least(" + ", ".join(_distance("p", c) for c in before) + ")"
+        joins = " ".join(f"join {c} on {c}.node = p.node" for c in before)
+        parts.append(f"""{prefix}{r} as materialized (select p.node, p.id, p.x, p.y from {source} p {joins} where {near} > 0
+                         qualify row_number() over (partition by p.node order by {near} desc, p.id) = 1)""")
+    union = " union all ".join(f"select node, {r}::integer as rank, id, x, y from {prefix}{r}" for r in range(k))
+    return ",\n".join(parts) + f""",
+        {prefix}_c as materialized ({union}),
+        {prefix}_m as (select p.node, p.id, any_value(p.n) as n, any_value(p.radius) as radius, min({_distance('p', 'c')}) as d2,
+                             arg_min(c.rank, ({_distance('p', 'c')}, c.rank)) as rank
+                      from {source} p join {prefix}_c c on c.node = p.node group by p.node, p.id),
+        {prefix}_t as materialized (select c.node, c.rank, c.id, c.x, c.y, sum(m.n)::bigint as n, max(sqrt(m.d2) + m.radius) as radius
+                      from {prefix}_c c join {prefix}_m m on m.node = c.node and m.rank = c.rank group by all)"""
+
+
+def _tree(levels: int) -> str:
+    """Coresets of splits of O, merged ``levels`` times; a single node stays as it is."""
+    parts = [O, f"""s0 as (select (id - low) // {q.SPLIT_WIDTH} as node, id, x, y, 1::bigint as n, 0::double as radius
+                           from o, (select min(id) as low from o))""", _covers("s0", "a", q.K_ORDERS)]
+    for level, (before, prefix) in enumerate(zip("abc", "bcd"[:levels]), 1):
+        parts += [f"s{level} as (select node // {FAN} as node, id, x, y, n, radius from {before}_t)", _covers(f"s{level}", prefix, q.K_ORDERS)]
+    return f"with {', '.join(parts)} select node, rank, id, x, y, n, radius from {'abcd'[levels]}_t"
 
 
 def _radius_outliers(source: str, name: str, k: int, m: int) -> str:
@@ -201,8 +222,8 @@ def oracle_sql() -> dict[str, str]:
             f"with {E}, {_chain('e', 'c', q.K, _uniform(f'{q.SEED}:', 'id') + ', id')} {_centers('c', q.K)}",
         "kcenter_coreset": f"with {E}, {_coreset('e', q.K)} select g, rank, id, x, y from coreset",
         "kcenter_coreset_orders": f"with {O}, {_coreset('o', q.K_ORDERS)} select g, rank, id, x, y from coreset",
-        "kcenter_coreset_split": _split(q.PARTS * q.K_ORDERS),
-        "kcenter_mr_split": _split(q.K_ORDERS),
+        "kcenter_coreset_split": _tree(0),
+        "kcenter_mr_split": _tree(3),
         "kcenter_mr": f"{_mr(E, 'e', q.K)} select rank, id, x, y from centers",
         "kcenter_mr_orders": f"{_mr(O, 'o', q.K_ORDERS)} select rank, id, x, y from centers",
         "nearest_center": f"""with {E}, {_chain('e', 'c', q.K)}, centers as ({_centers('c', q.K)}), {_nearest('e')}

@@ -20,6 +20,7 @@ ORDER = dict(distance=3.0, neighbours=3)         # O: 500 x 110 units
 LINE_DISTANCE, LINE_NEIGHBOURS = 0.5, 3          # L: 50 x 100 units
 TOP = 10
 PARTS, K, K_ORDERS, SEED = 4, 5, 6, 7
+SPLIT_WIDTH = 4096
 RADIUS_NEIGHBOURS, RADIUS_NEIGHBOURS_ORDERS = 250, 5500
 PHI, EPSILON, DELTA = 0.008, 0.002, 0.1
 
@@ -142,24 +143,6 @@ def _radius(p: DataFrame, k: int, parts: int | None) -> DataFrame:
     return kcenter.covering_radius(p, kcenter.coreset_centers(p, k, parts))
 
 
-def _split_centers(take):
-    """What holds of the centers of split points however the splits fall.
-
-    How many there are, how many of them are points of the set, the radius of a plain
-    traversal, and the number of points within 4 times that radius of a center.
-    """
-    def run(spark, sf):
-        p = kept_order_points(spark, sf)
-        centers = take(spread(p, PARTS))
-        plain = kcenter.covering_radius(p, kcenter.farthest_first(p, K_ORDERS)).first().radius
-        found = [(r.id, r.x, r.y) for r in centers.collect()]  # at most K for each part
-        known = p.join(F.broadcast(centers.select("id", "x", "y")), ["id", "x", "y"], "left_semi").count()
-        near = kcenter.nearest_center(p, found).filter(F.sqrt("d2") <= F.lit(4 * plain))
-        return near.agg(F.lit(len(found)).cast("long").alias("centers"), F.lit(known).cast("long").alias("of_the_points"),
-                        F.lit(plain).alias("plain_radius"), F.count("*").alias("covered"))
-    return run
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     e, o, ln = embedding_points, kept_order_points, line_points
     return {
@@ -204,10 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kcenter_global_seeded": lambda s, sf: kcenter.global_centers(e(s, sf), K, SEED),
         "kcenter_coreset": lambda s, sf: kcenter.coreset(kcenter.by_id(e(s, sf), PARTS), K),
         "kcenter_coreset_orders": lambda s, sf: kcenter.coreset(kcenter.by_id(o(s, sf), PARTS), K_ORDERS),
-        "kcenter_coreset_split": _split_centers(lambda p: kcenter.coreset_by_split(p, K_ORDERS)),
+        "kcenter_coreset_split": lambda s, sf: kcenter.split_coresets(o(s, sf), K_ORDERS, SPLIT_WIDTH),
         "kcenter_mr": lambda s, sf: kcenter.mapreduce_centers(e(s, sf), K, PARTS),
         "kcenter_mr_orders": lambda s, sf: kcenter.mapreduce_centers(o(s, sf), K_ORDERS, PARTS),
-        "kcenter_mr_split": _split_centers(lambda p: kcenter.mapreduce_centers(p, K_ORDERS)),
+        "kcenter_mr_split": lambda s, sf: kcenter.merged_coresets(
+            kcenter.split_coresets(o(s, sf), K_ORDERS, SPLIT_WIDTH), K_ORDERS),
         "nearest_center": _nearest,
         "kcenter_radius": lambda s, sf: _radius(e(s, sf), K, PARTS),
         "kcenter_radius_orders": lambda s, sf: _radius(o(s, sf), K_ORDERS, PARTS),

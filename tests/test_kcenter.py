@@ -93,23 +93,61 @@ def test_more_centers_than_are_carried(plane, monkeypatch, rows):
         (g, i) for g in range(2) for i in traverse({i: p for i, p in spots.items() if i % 2 == g}, 8)]
 
 
-@pytest.mark.parametrize("splits", [1, 4])
-@pytest.mark.parametrize("block", [1, 7, 1000])
-def test_split_coreset(plane, block, splits):
+def cover(rows, k):
+    """Farthest-first over rows ``(id, x, y, n, radius)``, each center with what it stands for, written out."""
+    spots = {r[0]: r[1:3] for r in rows}
+    chosen = traverse(spots, k)
+    mine = {i: min((d2(p, spots[c]), rank) for rank, c in enumerate(chosen)) for i, p in spots.items()}
+    return [(rank, c, *spots[c], sum(r[3] for r in rows if mine[r[0]][1] == rank),
+             max(math.sqrt(mine[r[0]][0]) + r[4] for r in rows if mine[r[0]][1] == rank)) for rank, c in enumerate(chosen)]
+
+
+def tree(pairs, k, width, fan):
+    """All levels of the tree, each as ``{node: rows}``."""
+    level = {}
+    for i, (x, y) in enumerate(pairs):
+        level.setdefault(i // width, []).append((i, float(x), float(y), 1, 0.0))
+    levels = [{node: cover(rows, k) for node, rows in level.items()}]
+    while max(levels[-1]) > 0:
+        level = {}
+        for node, rows in levels[-1].items():
+            level.setdefault(node // fan, []).extend(r[1:] for r in rows)
+        levels.append({node: cover(rows, k) for node, rows in level.items()})
+    return levels
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("width, fan", [(200, 16), (31, 2), (7, 3), (1, 2)])
+def test_tree_of_coresets(plane, parts, width, fan):
     pairs = cloud(11, 120)
-    points, spots = plane(pairs, splits), dict(enumerate(pairs))
-    core = kc.coreset_by_split(points, 4, block).collect()
-    assert len(core) == 4 * splits
-    assert len({r.id for r in core}) == len(core) and all(spots[r.id] == (r.x, r.y) for r in core)
-    centers = ids(kc.farthest_first(kc.coreset_by_split(points, 4, block), 4))
-    # within eight times the optimum if a split has several blocks, which is at least half the radius of the traversal
-    assert radius(spots, centers) <= (4 if block == 1000 else 8) * radius(spots, traverse(spots, 4)) + 1e-9
+    points, spots = plane(pairs, parts), dict(enumerate(pairs))
+    levels = tree(pairs, 4, width, fan)
+    leaves = kc.split_coresets(points, 4, width)
+    assert sorted(map(tuple, leaves.collect())) == sorted((node, *r) for node, rows in levels[0].items() for r in rows)
+    root = sorted(map(tuple, kc.merged_coresets(leaves, 4, fan).collect()))
+    assert root == [(0, *r) for r in levels[-1][0]]
+    # the cover holds: all points are counted, and none is farther away than it says
+    assert sum(r[5] for r in root) == 120
+    assert all(min(math.sqrt(d2(p, r[3:5])) - r[6] for r in root) <= 1e-9 for p in spots.values())
+    assert radius(spots, [r[2] for r in root]) <= max(r[6] for r in root) + 1e-9
+
+
+def test_tree_does_not_depend_on_the_lowest_id(spark):
+    rows = [(i - 1000, float(i % 13), float(i % 7)) for i in range(90)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    leaves = kc.split_coresets(points, 3, 20)
+    assert sorted(r.node for r in leaves.select("node").distinct().collect()) == [0, 1, 2, 3, 4]
+    assert [r[2] + 1000 for r in sorted(kc.merged_coresets(leaves, 3).collect())] == [
+        r[1] for r in tree([(x, y) for _, x, y in rows], 3, 20, 16)[-1][0]]
 
 
 def test_one_split_is_the_plain_traversal(plane):
     pairs = cloud(12, 60)
-    core = kc.coreset_by_split(plane(pairs, 1), 5).collect()
-    assert [r.id for r in core] == traverse(dict(enumerate(pairs)), 5)
+    assert ids(kc.coreset_centers(plane(pairs, 3), 5)) == traverse(dict(enumerate(pairs)), 5)
+    with pytest.raises(ValueError):
+        kc.split_coresets(plane(pairs), 5, 0)
+    with pytest.raises(ValueError):
+        kc.merged_coresets(kc.split_coresets(plane(pairs), 5), 5, 1)
 
 
 def test_more_centers_than_points(plane):
