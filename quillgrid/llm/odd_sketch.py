@@ -134,24 +134,32 @@ def _may_link(h: Column) -> Column:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """``key, cls, n, s0..`` for buckets of at least two classes."""
+    """``key, cls`` for buckets of at least two classes."""
     spread = classes.select("cls", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    bitmap = [F.col("sketch")[k].alias(s) for k, s in enumerate(WORDS)]
-    return spread.join(shared, "key").join(classes.select("cls", "n", *bitmap), "cls")
+    return spread.join(shared, "key")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cls, them``: the shingles of the wanted classes, from one document each."""
-    texts = (docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-             .join(wanted, F.expr("_id <=> wanted_id"))
-             .select("cls", "text"))
+    """``cls, them``: the shingles of the wanted classes, from one document each.
+
+    A class comes by the smallest id of its documents. One without any id is looked for among the
+    rows without id by itself, so these rows are no key that all of them share.
+    """
+    row = docs.select(F.col("doc_id").cast("long").alias("wanted_id"), "text")
+    texts = row.filter("wanted_id is not null").join(wanted.filter("wanted_id is not null"), "wanted_id").select("cls", "text")
 
     def made(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in raw(batch)]
         right = [k for k, c in enumerate(batch.column("cls").to_pylist()) if name_of(sets[k]) == c]
         return {"cls": batch.column("cls").take(pa.array(right, pa.int64())), "them": [sets[k].view(np.int64) for k in right]}
-    return per_batch(texts, made, "cls binary,them array<long>").dropDuplicates(["cls"])
+
+    def own(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t) for t in raw(batch)]
+        return {"cls": [name_of(s) for s in sets], "them": [s.view(np.int64) for s in sets]}
+    nameless = per_batch(row.filter("wanted_id is null").select("text"), own, "cls binary,them array<long>")
+    nameless = nameless.join(wanted.filter("wanted_id is null").select("cls"), "cls", "left_semi")
+    return per_batch(texts, made, "cls binary,them array<long>").unionByName(nameless).dropDuplicates(["cls"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -164,8 +172,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("u", "v"))
 
 
-def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``cls, comp`` for the classes of all buckets; each component is named by one of its classes."""
+def linked(members: DataFrame, sketched: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cls, comp`` for the classes of all buckets; each component is named by one of its classes.
+
+    ``sketched`` has ``cls, n, s0, ...``: bitmaps meet members of open buckets only, in the round that compares them.
+    """
     labels = stored(members.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
     done = checked = None
     turn = 0
@@ -180,12 +191,13 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
         if done is not None:
             free = free.join(done, ["key", "cls"], "left_anti")
         lot = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(hubs)).alias("lot")
-        drawn = stored(free.groupBy("key", lot).agg(F.min(F.struct("cls", "comp", "n", *WORDS)).alias("hub")), "hubs")
+        drawn = stored(free.groupBy("key", lot).agg(F.min(F.struct("cls", "comp")).alias("hub")).select("key", "hub.cls", "hub.comp"), "hubs")
         if drawn.isEmpty():
+            forget(at_work, drawn, *(df for df in (done, checked) if df is not None))
             return labels
         # at most `hubs` of them for each bucket
-        drawn_lists = drawn.groupBy("key").agg(F.collect_list("hub").alias("hubs"))
-        met = at_work.join(drawn_lists, "key").select("cls", F.transform(F.filter("hubs", _may_link), lambda h: h["cls"]).alias("hubs"))
+        drawn_lists = drawn.join(sketched, "cls").groupBy("key").agg(F.collect_list(F.struct("cls", "comp", "n", *WORDS)).alias("hubs"))
+        met = at_work.select("key", "cls", "comp").join(sketched, "cls").join(drawn_lists, "key").select("cls", F.transform(F.filter("hubs", _may_link), lambda h: h["cls"]).alias("hubs"))
         pairs = (met.filter(F.size("hubs") > 0).select("cls", F.explode("hubs").alias("hub"))
                  .select(F.least("cls", "hub").alias("u"), F.greatest("cls", "hub").alias("v")).distinct())
         if checked is not None:
@@ -200,7 +212,7 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
             labels = stored(labels.join(joined.withColumnRenamed("node", "comp"), "comp", "left")
                             .select("cls", F.coalesce("root", "comp").alias("comp")), "labels")
             forget(before)
-        these = stored(drawn.select("key", F.col("hub.cls").alias("cls")), "drawn")
+        these = stored(drawn.select("key", "cls"), "drawn")
         done = these if done is None else done.unionByName(these)
         checked = pairs if checked is None else checked.unionByName(pairs)
         forget(at_work, drawn, found)
@@ -214,10 +226,12 @@ def groups(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"),
         F.first("sketch").alias("sketch")), "classes")
     members = stored(_members(classes), "buckets")
-    wanted = members.select("cls").distinct().join(classes.select("cls", F.col("doc_id").alias("wanted_id")), "cls")
-    sets = stored(_sets(docs, wanted), "sets")
-    labels = linked(members, sets)
-    forget(members, sets)
+    bitmap = [F.col("sketch")[k].alias(s) for k, s in enumerate(WORDS)]
+    shared = stored(members.select("cls").distinct().join(
+        classes.select("cls", "n", F.col("doc_id").alias("wanted_id"), *bitmap), "cls"), "shared")
+    sets = stored(_sets(docs, shared.select("cls", "wanted_id")), "sets")
+    labels = linked(members, shared.drop("wanted_id"), sets)
+    forget(members, sets, shared)
     named = (classes.select("cls", "doc_id").join(labels, "cls", "left")
              .withColumn("comp", F.coalesce("comp", "cls")))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -233,9 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).drop("cls", "comp")
 
 
-def _with_classes(docs: DataFrame) -> DataFrame:
-    """``row, cls``: each row as a struct, and its class."""
-    schema = StructType([StructField("row", docs.schema), StructField("cls", BinaryType())])
+def _with_classes(rows: DataFrame) -> DataFrame:
+    """``row, cls``: each row, a struct that has the columns of a document, and its class."""
+    schema = StructType([rows.schema["row"], StructField("cls", BinaryType())])
 
     def made(them):
         for batch in them:
@@ -243,25 +257,28 @@ def _with_classes(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name_of(shingles(t)) for t in raw(part)], pa.binary())],
                                                  names=["row", "cls"])
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text").mapInArrow(made, schema)
+    return rows.select("row", F.col("row.text").alias("text")).mapInArrow(made, schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, as it is.
+    """One document of each group, as it is, in all columns of ``docs``, whatever their names.
 
     Where several rows have one doc_id, or have none, they are told apart by their class: one row
     of a single class stays for each group, and one for each doc_id without any words.
     """
-    rows = stored(groups(docs), "groups")
-    stays = rows.filter("kept")
-    kept = (stays.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("_kept"), F.min("cls").alias("_cls")).drop("comp")
-            .unionByName(stays.filter("n_shingles = 0").select(F.col("doc_id").alias("_kept"), F.col("cls").alias("_cls")).distinct()))
-    times = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("m"), F.max("kept").alias("any")).filter("any")
-    again = times.filter("m > 1 or _id is null").select("_id")
-    out = docs.join(times.filter("m = 1 and _id is not null").select("_id"), F.expr("doc_id = _id"), "left_semi")
-    if again.isEmpty():
-        return out
-    # rows without doc_id are not joined by it, as they would all be one key
-    several = docs.join(again, F.expr("doc_id = _id"), "left_semi").unionByName(docs.filter("doc_id is null"))
-    one = _with_classes(several).withColumn("_id", F.col("row.doc_id")).dropDuplicates(["_id", "cls"])
-    return out.unionByName(one.join(kept, F.expr("_id <=> _kept and cls = _cls"), "left_semi").select("row.*"))
+    found = stored(groups(docs), "groups")
+    stays = found.filter("kept")
+    kept = (stays.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("id"), F.min("cls").alias("cls")).select("id", "cls")
+            .unionByName(stays.filter("n_shingles = 0").select(F.col("doc_id").alias("id"), "cls").distinct()))
+    times = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("m"), F.max("kept").alias("any")).filter("any")
+    again = times.filter("m > 1 or id is null").select("id")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    by_id = F.col("row.doc_id").cast("long") == F.col("id")
+    out = rows.join(times.filter("m = 1 and id is not null").select("id"), by_id, "left_semi")
+    if not again.isEmpty():
+        # rows without doc_id are not joined by it, as they would all be one key
+        several = rows.join(again, by_id, "left_semi").unionByName(rows.filter("row.doc_id is null"))
+        one = _with_classes(several).withColumn("of", F.col("row.doc_id").cast("long")).dropDuplicates(["of", "cls"])
+        one = one.join(kept.withColumnRenamed("cls", "kept_cls"), F.expr("of <=> id and cls = kept_cls"), "left_semi")
+        out = out.unionByName(one.select("row"))
+    return out.select("row.*")

@@ -22,7 +22,7 @@ def docs(spark):
     """Documents from a list of ``(doc_id, text)``, with columns whose names clash with those of results."""
     def build(rows):
         df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCUMENTS)
-        for name in ("n_words", "n", "cls", "key", "found", "term", "length", "kept", "_row", "u", "hubs", "items"):
+        for name in ("n_words", "n", "cls", "key", "found", "term", "length", "kept", "_row", "u", "hubs", "items", "_id", "_kept", "m", "row", "id", "any"):
             df = df.selectExpr("*", f"'x' as {name}")
         return df.repartition(3)
     return build

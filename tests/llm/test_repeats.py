@@ -21,3 +21,15 @@ def test_one_row_of_each_group_stays(docs, more, stay):
     assert Counter(r.doc_id for r in got) == STAY | stay
     assert {r.text for r in got if r.doc_id == 5} == {"a text of its own"}
     assert {r.text for r in got if r.doc_id is None} == ({"no id at all", ""} if more else set())
+
+
+def test_rows_without_id_are_no_common_key(docs, spark):
+    """A class without id is looked for among rows without id once, not once for each of them."""
+    rows = [(None, f"words that many rows share and one of its own {k}") for k in range(400)]
+    df = docs(rows)
+    sets = odd_sketch._sets(df, spark.createDataFrame(
+        [(odd_sketch.name_of(odd_sketch.shingles(t.encode())), None) for _, t in rows], "cls binary, wanted_id long"))
+    assert sets.count() == 400
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "<=>" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert odd_sketch.deduplicated(docs(rows[:30])).count() == 30
