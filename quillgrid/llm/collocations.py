@@ -117,7 +117,7 @@ def _squeezed(x: np.ndarray) -> np.ndarray:
 
 
 def coded(docs: DataFrame, vocabulary: DataFrame, shards: int) -> DataFrame:
-    """``x, s``: blocks of word numbers, and the states of their positions, at first the numbers themselves."""
+    """``x``: blocks of word numbers, which are the states of their positions at first."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("lang").cast("string").alias("lang"), "text", F.lit(None).cast("binary").alias("x"))
     for shard in range(shards):
@@ -136,12 +136,12 @@ def coded(docs: DataFrame, vocabulary: DataFrame, shards: int) -> DataFrame:
                     found.append(here if x is None else here + np.frombuffer(x, np.int32))
                 if last:
                     block = _squeezed(np.concatenate([y for x in found for y in (x, np.zeros(1, np.int32))])).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())] * 2, names=["x", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["x"])
                 else:
                     yield pa.RecordBatch.from_arrays(
                         [part.column("lang"), part.column("text"), pa.array([x.tobytes() for x in found], pa.binary())], names=["lang", "text", "x"])
         before = texts
-        texts = stored(texts.mapInArrow(numbers, "x binary, s binary" if last else "lang string, text string, x binary"), "blocks", GROUP)
+        texts = stored(texts.mapInArrow(numbers, "x binary" if last else "lang string, text string, x binary"), "blocks", GROUP)
         if shard:
             forget(before)
         names.destroy()
@@ -260,12 +260,22 @@ def tries(phrases: DataFrame, digits: int) -> DataFrame:
 def _blocks(them: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     for batch in them:
         for row in range(batch.num_rows):
-            x, s, *more = (np.frombuffer(c[row].as_buffer(), np.int32) for c in batch.columns)
-            yield x, s, more
+            x, *more = (np.frombuffer(c[row].as_buffer(), np.int32) for c in batch.columns)
+            yield x, more[0] if more else x, more[1:]
+
+
+def _accepted(x: np.ndarray, states: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions inside accepted phrases, with one 0 between runs of them."""
+    inside = np.zeros(len(x), bool)
+    for k in range(min(length, len(x))):
+        inside[k:] |= states[:len(x) - k] != 0
+    stays = inside.copy()
+    stays[1:] |= inside[:-1]        # the border after a run
+    return np.where(inside, x, 0)[stays].astype(np.int32), states[stays]
 
 
 def with_states(blocks: DataFrame, made: DataFrame, shards: int, digits: int, length: int) -> DataFrame:
-    """The blocks with the states that all tries give their positions, one broadcast trie at a time."""
+    """``x, s``: what lies inside accepted phrases, and the states that all tries give, one broadcast trie at a time."""
     sc = blocks.sparkSession.sparkContext
     out = blocks
     for shard in range(shards):
@@ -280,7 +290,7 @@ def with_states(blocks: DataFrame, made: DataFrame, shards: int, digits: int, le
             for x, before, more in _blocks(them):
                 states = advanced(Trie(base, check, digits), x, before, length)
                 states = states + more[0] if more else states        # a phrase is in one trie
-                columns = [x, states] if last else [x, before, states]
+                columns = _accepted(x, states, length) if last else [x, before, states]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["x", "s", "t"][:len(columns)])
         older, out = out, stored(out.mapInArrow(step, "x binary, s binary" if last else "x binary, s binary, t binary"), "blocks", GROUP)
         if older is not blocks:

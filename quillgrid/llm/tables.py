@@ -12,7 +12,7 @@ def stored(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
     once, and a page then has few rows, as writers only look at its size after a hundred.
     """
     path = fresh_path(df.sparkSession, name)
-    options = {} if group is None else {"parquet.block.size": group, "parquet.page.row.count.limit": 16}
+    options = {} if group is None else {"compression": "zstd", "parquet.block.size": group, "parquet.page.row.count.limit": 16}
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
