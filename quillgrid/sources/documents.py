@@ -1,15 +1,31 @@
 """Documents: one row each, a ``text`` column, any other column identifies the row."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgrid.sources.placement import spread
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The lines of text files as ``(name, text)``, numbered from 0 by file and by place in it.
+
+    A line has its place in its split of a file, plus the lines of all splits before: the same number
+    however the files are cut into splits. Each split brings one row, counted without its text.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))      # lines of a split follow one another
+    before = W.orderBy("path", "start").rowsBetween(W.unboundedPreceding, -1)
+    splits = (lines.groupBy("path", "start").agg(F.count("*").alias("lines"), F.min("place").alias("first"))
+              .select("path", "start", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("skipped")))
+    return lines.join(F.broadcast(splits), ["path", "start"]).select(
+        (F.col("skipped") + F.col("place") - F.col("first")).alias(name), "text")
+
+
 def read_documents(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Text files, one document per line, as ``(doc_id, text)``."""
-    docs = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """Text files, one document per line, as ``(doc_id, text)``, numbered from 0 by file and line."""
+    docs = numbered_lines(spark, path, "doc_id")
     return docs if partitions is None else spread(docs, partitions)
 
 

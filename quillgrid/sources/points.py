@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions import checks
+from quillgrid.sources.documents import numbered_lines
 from quillgrid.sources.placement import spread
 
 MODES = ("fail", "drop")
@@ -41,8 +42,6 @@ def parse_points(df: DataFrame, text: str = "text", id: str = "id", mode: str =
 
 def read_points(spark: SparkSession, path: str, mode: str = "fail",
                 partitions: int | None = None) -> DataFrame:
-    """Headerless ``x,y`` text files. Ids follow the order of the lines in a split."""
-    lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
-    out = parse_points(lines, mode=mode)
+    """Headerless ``x,y`` text files. Ids count the lines from 0 by file and place, so the lowest is the first line."""
+    out = parse_points(numbered_lines(spark, path, "id"), mode=mode)
     return out if partitions is None else spread(out, partitions)

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from quillgrid import queries as q
+from quillgrid.operators import kcenter
 from quillgrid.plans.lineage import cut, shared_dir
+from quillgrid.sources.documents import read_documents
 from quillgrid.sources.placement import spread, widen
 from quillgrid.sources.points import parse_points, points, read_points
 
@@ -19,6 +21,29 @@ def test_points_from_text(spark, tmp_path):
     assert read_points(spark, str(tmp_path), partitions=5).rdd.getNumPartitions() == 5
 
 
+@pytest.mark.parametrize("size", [None, "2kb", "300b"])
+def test_ids_of_lines_do_not_depend_on_splits(spark, tmp_path, size):
+    """The same ids for one, some and many splits, and a traversal that starts at the first line."""
+    for name, low in (("b", 600), ("a", 0), ("c", 900)):
+        high = {"a": 600, "b": 900, "c": 901}[name]
+        (tmp_path / f"{name}.csv").write_text("".join(f"{k},{k % 7}\n" for k in range(low, high)))
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        p = read_points(spark, str(tmp_path))
+        got = sorted((r.id, r.x) for r in p.collect())
+        parts = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        first = kcenter.farthest_first(p, 2)[0]
+        docs = sorted(tuple(r) for r in read_documents(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(k, float(k)) for k in range(901)] and first == (0, 0.0, 0.0)
+    assert docs == [(k, f"{k},{k % 7}") for k in range(901)]
+    assert parts > (20 if size == "300b" else 2 if size else 0)
+
+
 @pytest.mark.parametrize("bad", ["1", "", "1,", "x,2", "1,nan", "inf,0", "1,-Infinity"])
 def test_malformed_points(spark, bad):
     df = _texts(spark, ["1,2", bad])
