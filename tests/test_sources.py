@@ -41,7 +41,7 @@ def test_ids_of_lines_do_not_depend_on_splits(spark, tmp_path, size):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == [(k, float(k)) for k in range(901)] and first == (0, 0.0, 0.0)
     assert docs == [(k, f"{k},{k % 7}") for k in range(901)]
-    assert parts > (20 if size == "300b" else 2 if size else 0)
+    assert parts > (15 if size == "300b" else 2 if size else 0)
 
 
 @pytest.mark.parametrize("bad", ["1", "", "1,", "x,2", "1,nan", "inf,0", "1,-Infinity"])
