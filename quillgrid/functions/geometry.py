@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 
 MOST_CELLS = 1 << 52  # of a row of cells on either side of 0
-UNROLLED = 64  # more centers than this go into one array, not one expression each
 
 
 def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -23,9 +22,6 @@ def squared_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 def _to_each(x: Column, y: Column, centers: Sequence[tuple[float, float]], then) -> Column:
     """Least of ``then(d2, rank)`` over fixed centers."""
-    if len(centers) > UNROLLED:
-        fixed = F.array(*(F.struct(F.lit(float(cx)).alias("x"), F.lit(float(cy)).alias("y")) for cx, cy in centers))
-        return F.array_min(F.transform(fixed, lambda c, rank: then(squared_distance(x, y, c.x, c.y), rank)))
     each = [then(squared_distance(x, y, F.lit(float(cx)), F.lit(float(cy))), F.lit(rank))
             for rank, (cx, cy) in enumerate(centers)]
     return each[0] if len(each) == 1 else F.least(*each)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import checks, rng
 from quillgrid.functions.geometry import nearest_center_struct, nearest_squared, squared_distance
 from quillgrid.operators.grid import approximate_outliers
+from quillgrid.plans.centers import nearest_of_many
 from quillgrid.plans.lineage import cut
 
 CENTERS = pa.schema({"rank": pa.int32(), "id": pa.int64(), "x": pa.float64(), "y": pa.float64()})
@@ -20,6 +21,7 @@ CARRIED = 8                 # centers after which the distances to them are writ
 COLLECTED_ROWS = 100_000    # centers of all groups that may come to the driver, one round at a time
 BROADCAST_GROUPS = 100_000  # one row of at most CARRIED centers per group on every executor
 SPLIT_WIDTH = 1_000_000     # points of one split in a Python worker, 40 bytes each
+UNROLLED = 64               # centers of one expression
 FAN = 16                    # coresets that are merged at once
 
 Centers = list[tuple[int, float, float]]
@@ -210,7 +212,12 @@ def mapreduce_centers(points: DataFrame, k: int, parts: int | None = None) -> Da
 
 
 def nearest_center(points: DataFrame, centers: Centers) -> DataFrame:
-    """``(id, center, d2)``: rank of the closest center (lowest on ties) and its distance."""
+    """``(id, center, d2)``: rank of the closest center (lowest on ties) and its distance.
+
+    Some centers become one expression, many a grid that each point searches around itself.
+    """
+    if len(centers) > UNROLLED:
+        return nearest_of_many(points, _plane(centers))
     best = nearest_center_struct(F.col("x"), F.col("y"), _plane(centers))
     return points.select("id", best.alias("best")).select(
         "id", F.col("best.center").alias("center"), F.col("best.d2").alias("d2"))
@@ -218,6 +225,8 @@ def nearest_center(points: DataFrame, centers: Centers) -> DataFrame:
 
 def covering_radius(points: DataFrame, centers: Centers) -> DataFrame:
     """The largest distance from a point to its closest center."""
+    if len(centers) > UNROLLED:
+        return nearest_of_many(points, _plane(centers)).agg(F.sqrt(F.max("d2")).alias("radius"))
     d2 = nearest_squared(F.col("x"), F.col("y"), _plane(centers))
     return points.agg(F.sqrt(F.max(d2)).alias("radius"))
 

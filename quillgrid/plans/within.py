@@ -146,10 +146,10 @@ def _close_pairs(ax, ay, a_at, bx, by, b_at, limit: float) -> np.ndarray:
     # small runs all at once, some MATRIX pairs at a time
     small = np.flatnonzero(work <= SMALL)
     for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(work[small]) // MATRIX)) + 1):
-        mine = _ranges(a_at[part], a_size[part])
+        mine = ranges(a_at[part], a_size[part])
         facing = np.repeat(b_size[part], a_size[part])
         i = np.repeat(mine, facing)
-        j = _ranges(np.repeat(b_at[part], a_size[part]), facing)
+        j = ranges(np.repeat(b_at[part], a_size[part]), facing)
         dx, dy = ax[i] - bx[j], ay[i] - by[j]
         out += np.bincount(i[dx * dx + dy * dy <= limit], minlength=len(out))
     for run in np.flatnonzero(work > SMALL):
@@ -162,7 +162,7 @@ def _close_pairs(ax, ay, a_at, bx, by, b_at, limit: float) -> np.ndarray:
     return out
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size says."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)

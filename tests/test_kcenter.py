@@ -3,8 +3,8 @@ import random
 
 import pytest
 
-import quillgrid.functions.geometry as geometry
 import quillgrid.operators.kcenter as kc
+import quillgrid.plans.centers as pc
 from conftest import MIDDLE
 from fixed import FIFTEEN
 from quillgrid import queries as q
@@ -173,7 +173,7 @@ def test_nearest_center(plane, monkeypatch):
     centers = kc.farthest_first(points, 4) + [(99, *pairs[0])]
     want = {i: min((d2(p, c[1:]), r) for r, c in enumerate(centers)) for i, p in spots.items()}
     for unrolled in (64, 2):
-        monkeypatch.setattr(geometry, "UNROLLED", unrolled)
+        monkeypatch.setattr(kc, "UNROLLED", unrolled)
         assert {r.id: (r.d2, r.center) for r in kc.nearest_center(points, centers).collect()} == want
         assert kc.covering_radius(points, centers).first().radius == math.sqrt(max(want.values())[0])
 
@@ -198,3 +198,20 @@ def test_golden_numbers(spark, source, k, want, r):
     centers = kc.coreset_centers(points, k, 4)
     assert ids(centers) == want
     assert round(kc.covering_radius(points, centers).first().radius, 8) == r
+
+
+@pytest.mark.parametrize("shape", ["spread", "line", "lattice", "one spot", "far one"])
+def test_nearest_of_many_centers(plane, shape):
+    """The grid of centers answers as a comparison with every center does, ties included."""
+    rnd = random.Random(5)
+    spot = {"spread": lambda: (rnd.uniform(0, 9), rnd.uniform(0, 5)), "line": lambda: (rnd.uniform(-4, 4), 2.0),
+            "lattice": lambda: (rnd.randint(0, 9), rnd.randint(0, 9)), "one spot": lambda: (3.0, 3.0),
+            "far one": lambda: (rnd.random(), rnd.random())}[shape]
+    centers = [(k, *map(float, spot())) for k in range(300)] + ([(300, 1e6, -1e6)] if shape == "far one" else [])
+    pairs = [spot() for _ in range(300)] + [(rnd.uniform(-30, 30), rnd.uniform(-30, 30)) for _ in range(60)]
+    pairs += [(0.5 + k % 9, 0.5 + k // 9) for k in range(40)] + [(1e9, 1e9), (-1e9, 3.0), (0.0, 0.0)]
+    want = {i: min((d2(p, c[1:]), r) for r, c in enumerate(centers)) for i, p in enumerate(pairs)}
+    points = plane(pairs)
+    assert {r.id: (r.d2, r.center) for r in kc.nearest_center(points, centers).collect()} == want
+    assert kc.covering_radius(points, centers).first().radius == math.sqrt(max(want.values())[0])
+    assert len(pc.center_grid([c[1:] for c in centers]).starts) <= 3 * len(centers) + 3
