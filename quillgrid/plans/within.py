@@ -28,7 +28,8 @@ LEAF_PAIRS = 1 << 16  # point pairs of two cells that are compared one by one; b
 SPLIT_BITS = 2        # 4x4 parts per split
 DEEPEST = 26          # splits; the smallest parts are then the spacing of doubles
 TASK_TESTS = 1 << 27  # point pairs compared by one task
-MATRIX, SMALL = 1 << 20, 1 << 12  # point pairs compared at once; pairs of cells up to the latter share that
+BROADCAST_POINTS = 1 << 21  # of 16 bytes each that are sent to all tasks
+MATRIX, SMALL = 1 << 15, 1 << 12  # point pairs compared at once, to fit a cache; small pairs of cells share that
 MOST_TASKS = 100_000
 SCAN_TESTS = 100      # comparisons per point that a scan may take on
 
@@ -116,15 +117,23 @@ def _packed(points: DataFrame, side: str, *columns: str) -> DataFrame:
 
 
 def _compared(leaves: DataFrame, queries: DataFrame, data: DataFrame, tasks: int, limit: float) -> DataFrame:
-    """``id, n``: a row for each query point and facing cell that has points in its reach.
+    """``id, n``: query points and how many points of facing cells each of them reaches.
 
-    The points of two cells meet as two arrays in one row and are compared in numpy, in the
-    arithmetic of ``squared_distance``, so a pair of points is never a row.
+    The points of a cell are one array, so a pair of points is never a row; they are compared in numpy, in the
+    arithmetic of ``squared_distance``. Few data points are sent to all tasks, after being counted, and a
+    cell meets all cells that it faces at once; beyond ``BROADCAST_POINTS`` two facing cells meet in one row.
     """
-    met = (leaves.select(F.col("i").alias("a_i"), F.col("j").alias("a_j"), "b_i", "b_j")
-           .join(_packed(queries, "a", "id", "x", "y"), ["a_i", "a_j"])
-           .repartition(tasks, "b_i", "b_j")
-           .join(_packed(data, "b", "x", "y").repartition(tasks, "b_i", "b_j"), ["b_i", "b_j"]).select("a", "b"))
+    faced = leaves.select(F.col("i").alias("a_i"), F.col("j").alias("a_j"), "b_i", "b_j")
+    mine = _packed(queries, "a", "id", "x", "y")
+    if data.count() <= BROADCAST_POINTS:
+        cells = data.sparkSession.sparkContext.broadcast(_CellPoints.of(data.select("i", "j", "x", "y").toArrow()))
+        lists = faced.groupBy("a_i", "a_j").agg(F.collect_list(F.struct("b_i", "b_j")).alias("b"))
+        met = mine.join(lists, ["a_i", "a_j"]).repartition(tasks, "a_i", "a_j").select("a", "b")
+        facing = lambda b: cells.value.of_cells(b.field("b_i").to_pylist(), b.field("b_j").to_pylist())
+    else:
+        met = (faced.join(mine, ["a_i", "a_j"]).repartition(tasks, "b_i", "b_j")
+               .join(_packed(data, "b", "x", "y").repartition(tasks, "b_i", "b_j"), ["b_i", "b_j"]).select("a", "b"))
+        facing = None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,12 +141,54 @@ def _compared(leaves: DataFrame, queries: DataFrame, data: DataFrame, tasks: int
             a_at, b_at = (c.offsets.to_numpy() - c.offsets[0].as_py() for c in (a, b))
             a, b = a.flatten(), b.flatten()
             ids, x, y = (a.field(c).to_numpy() for c in ("id", "x", "y"))
-            n = _close_pairs(x, y, a_at, b.field("x").to_numpy(), b.field("y").to_numpy(), b_at, limit)
+            if facing is None:
+                n = _close_pairs(x, y, a_at, b.field("x").to_numpy(), b.field("y").to_numpy(), b_at, limit)
+            else:
+                data_x, data_y, starts, sizes = facing(b)
+                n = np.zeros(len(x), np.int64)
+                for row in range(batch.num_rows):
+                    low, high = a_at[row], a_at[row + 1]
+                    at = ranges(starts[b_at[row]:b_at[row + 1]], sizes[b_at[row]:b_at[row + 1]])
+                    n[low:high] = _in_reach(x[low:high], y[low:high], data_x[at], data_y[at], limit)
             some = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some])], names=["id", "n"])
     return met.mapInArrow(counted, "id long, n long")
 
 
+class _CellPoints:
+    """Points cell by cell."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, places: dict[tuple[int, int], int]):
+        self.x, self.y, self.starts, self.places = x, y, starts, places
+
+    @classmethod
+    def of(cls, points: pa.Table) -> "_CellPoints":
+        i, j, x, y = (points.column(c).to_numpy() for c in ("i", "j", "x", "y"))
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])) if len(i) else np.empty(0, bool))
+        places = {cell: k for k, cell in enumerate(zip(i[first].tolist(), j[first].tolist()))}
+        return cls(x[order], y[order], np.append(first, len(i)), places)
+
+    def of_cells(self, i: list[int], j: list[int]) -> tuple[np.ndarray, ...]:
+        """All points, and where those of each cell start and how many they are."""
+        place = np.fromiter(map(self.places.__getitem__, zip(i, j)), np.int64, len(i))
+        return self.x, self.y, self.starts[place], self.starts[place + 1] - self.starts[place]
+
+
+def _in_reach(ax, ay, bx, by, limit: float) -> np.ndarray:
+    """For each point of ``a`` the points of ``b`` in reach."""
+    step = max(1, MATRIX // max(1, len(bx)))
+    out = np.empty(len(ax), np.int64)
+    for low in range(0, len(ax), step):
+        dx, dy = ax[low:low + step, None] - bx, ay[low:low + step, None] - by
+        dx *= dx
+        dy *= dy
+        dx += dy
+        out[low:low + step] = np.count_nonzero(dx <= limit, axis=1)
+    return out
+
+
 def _close_pairs(ax, ay, a_at, bx, by, b_at, limit: float) -> np.ndarray:
     """For each point of ``a`` the points in reach in the run of ``b`` that faces its own run."""
     out = np.zeros(len(ax), np.int64)
@@ -153,12 +204,8 @@ def _close_pairs(ax, ay, a_at, bx, by, b_at, limit: float) -> np.ndarray:
         dx, dy = ax[i] - bx[j], ay[i] - by[j]
         out += np.bincount(i[dx * dx + dy * dy <= limit], minlength=len(out))
     for run in np.flatnonzero(work > SMALL):
-        x, y = bx[b_at[run]:b_at[run + 1]], by[b_at[run]:b_at[run + 1]]
-        step = max(1, MATRIX // len(x))
-        for low in range(a_at[run], a_at[run + 1], step):
-            high = min(low + step, a_at[run + 1])
-            dx, dy = ax[low:high, None] - x, ay[low:high, None] - y
-            out[low:high] = np.count_nonzero(dx * dx + dy * dy <= limit, axis=1)
+        low, high = a_at[run], a_at[run + 1]
+        out[low:high] = _in_reach(ax[low:high], ay[low:high], bx[b_at[run]:b_at[run + 1]], by[b_at[run]:b_at[run + 1]], limit)
     return out
 
 

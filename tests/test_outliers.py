@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,7 @@ def tiny_limits(monkeypatch):
     monkeypatch.setattr(within, "BROADCAST_ROWS", 3)
     monkeypatch.setattr(within, "LEAF_PAIRS", 16)
     monkeypatch.setattr(within, "TASK_TESTS", 50)
+    monkeypatch.setattr(within, "BROADCAST_POINTS", 3)
 
 
 CASES = {
@@ -69,6 +71,26 @@ def test_neighbour_counts_with_hot_cells(plane, tiny_limits, name):
     assert counted(outliers.neighbour_counts(plane(pairs), distance)) == brute(pairs, distance)
 
 
+@pytest.mark.parametrize("name", ["fifteen", "clouds", "on cell borders", "far from zero"])
+def test_neighbour_counts_with_cells_sent_to_all_tasks(plane, tiny_limits, monkeypatch, name):
+    monkeypatch.setattr(within, "BROADCAST_POINTS", 1 << 21)
+    pairs, distance = CASES[name]
+    assert counted(outliers.neighbour_counts(plane(pairs), distance)) == brute(pairs, distance)
+
+
+@pytest.mark.parametrize("small, matrix", [(1 << 12, 1 << 15), (0, 1 << 15), (100, 64), (1 << 12, 1)])
+def test_runs_of_points_are_compared_whole(monkeypatch, small, matrix):
+    monkeypatch.setattr(within, "SMALL", small)
+    monkeypatch.setattr(within, "MATRIX", matrix)
+    draw = np.random.default_rng(3)
+    a_size, b_size = draw.integers(0, 30, 40), draw.integers(0, 30, 40)
+    a_at, b_at = (np.append(0, np.cumsum(n)) for n in (a_size, b_size))
+    (ax, ay), (bx, by) = (draw.integers(0, 6, (2, at[-1])).astype(float) for at in (a_at, b_at))
+    want = [sum((ax[k] - bx[m]) ** 2 + (ay[k] - by[m]) ** 2 <= 5.0 for m in range(b_at[run], b_at[run + 1]))
+            for run in range(40) for k in range(a_at[run], a_at[run + 1])]
+    assert within._close_pairs(ax, ay, a_at, bx, by, b_at, 5.0).tolist() == want
+
+
 @pytest.mark.parametrize("name", ["fifteen", "clouds", "exactly D apart"])
 def test_exact_outliers_with_hot_cells(plane, tiny_limits, name):
     pairs, distance = CASES[name]
