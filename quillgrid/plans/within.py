@@ -3,10 +3,14 @@
 Points are binned into cells twice as wide as the distance, and pairs of adjacent cells
 are settled from the extents of their points: wholly in reach (the count of the cell is
 added), wholly out of reach (dropped), or open. An open pair with few point pairs is
-compared point by point. An open pair with many is split, both cells into 4x4, and its
+compared point by point. In an open pair of larger cells that a task can hold, the points of one are swept over
+strips of the other. An open pair of still larger ones is split, both cells into 4x4, and its
 parts are settled in the same way. Copies of one point have no extent and are always
 settled whole. So a cell that holds a third of all points never meets itself or a
 neighbour point by point, and every join key has a bounded number of rows.
+
+A point goes to few keys: splitting cells until pairs of their points are few would send each point to as many
+keys as there are small cells on the rim of its reach, and their number grows with the points in reach.
 """
 
 import math
@@ -15,20 +19,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgrid.functions import checks
 from quillgrid.functions.geometry import (
-    box, cell_index, extent, farthest_between, nearest_between, point_box, squared_distance)
-from quillgrid.plans.hot import BROADCAST_ROWS, hot_cells, lookup, outside_hot
+    EXTENT, box, cell_index, extent, farthest_between, nearest_between, point_box, squared_distance)
+from quillgrid.plans.hot import BROADCAST_ROWS, hot_bound, hot_cells, lookup, outside_hot
 from quillgrid.plans.lineage import cut
 
 WIDTH = 2             # of a cell, in distances: a disc then meets 3.8 cells, not 8.1
 LEAF_PAIRS = 1 << 16  # point pairs of two cells that are compared one by one; below HOT_FLOOR
+LEAF_POINTS = 1 << 18  # points of either cell that are swept in one task; below HOT_FLOOR
+FACING_POINTS = 1 << 20  # points of facing cells that a cell meets at once
+TASK_POINTS = 1 << 21  # points dealt to one task for that
+STRIP = 4             # a strip has so many times the root of all points, which levels the strips and the points of a sweep
 SPLIT_BITS = 2        # 4x4 parts per split
 DEEPEST = 26          # splits; the smallest parts are then the spacing of doubles
 TASK_TESTS = 1 << 27  # point pairs compared by one task
 BROADCAST_POINTS = 1 << 21  # of 16 bytes each that are sent to all tasks
+SWEPT = 1 << 18       # points of strips tested at once
 MATRIX, SMALL = 1 << 15, 1 << 12  # point pairs compared at once, to fit a cache; small pairs of cells share that
 MOST_TASKS = 100_000
 SCAN_TESTS = 100      # comparisons per point that a scan may take on
@@ -53,8 +63,11 @@ def _settle(pairs: DataFrame, limit: float) -> DataFrame:
     return (pairs.filter(nearest_between(a, b) <= F.lit(limit))
             .withColumn("whole", farthest_between(a, b) <= F.lit(limit))
             .withColumn("work", F.col("a_n").cast("double") * F.col("b_n"))
-            .select("a_i", "a_j", "a_n", "b_i", "b_j", "b_n", "whole", "work",
-                    "b_x_lo", "b_x_hi", "b_y_lo", "b_y_hi"))
+            .select("a_i", "a_j", "a_n", "b_i", "b_j", "b_n", "whole", "work", *_box_names("a_"), *_box_names("b_")))
+
+
+def _box_names(prefix: str) -> list[str]:
+    return [prefix + c for c in EXTENT]
 
 
 def _adjacent(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -88,25 +101,36 @@ def _added(queries, data, pairs, leaf, rows, tests, limit, a_size, b_size, hot_a
 
     if rows == 0:
         return whole
-    leaves = pairs.filter(leaf).withColumnsRenamed({"a_i": "i", "a_j": "j"})
-    # a cell of a leaf has at most LEAF_PAIRS points, so none of them is hot, and once the points of all
+    # a cell of a leaf has at most LEAF_POINTS points, so none of them is hot, and once the points of all
     # other cells are out of the way no key has more; until then large ones are left to adaptive splitting
-    def of_leaves(points, side_of, size):
-        names = pairs.filter(leaf).select(F.col(f"{side_of}_i").alias("i"), F.col(f"{side_of}_j").alias("j")).distinct()
+    def of_leaves(points, which, side_of, size):
+        names = pairs.filter(which).select(F.col(f"{side_of}_i").alias("i"), F.col(f"{side_of}_j").alias("j")).distinct()
         return points.join(F.broadcast(names) if size.cells <= BROADCAST_ROWS else names, ["i", "j"], "left_semi")
-    mine, other = of_leaves(outside_hot(queries, hot_a), "a", a_size), of_leaves(outside_hot(data, hot_b), "b", b_size)
+    def of_both(which):
+        return (of_leaves(outside_hot(queries, hot_a), which, "a", a_size), of_leaves(outside_hot(data, hot_b), which, "b", b_size))
     nowhere = F.lit(None).cast("double")
+    spark = queries.sparkSession
     if rows <= BROADCAST_ROWS and tests <= SCAN_TESTS * b_size.points:
-        facing = (mine.join(leaves, ["i", "j"])
+        mine, other = of_both(leaf)
+        facing = (mine.join(pairs.filter(leaf).withColumnsRenamed({"a_i": "i", "a_j": "j"}), ["i", "j"])
                   .filter(nearest_between(point_box(F.col("x"), F.col("y")), box("b_")) <= F.lit(limit))
                   .select("id", "x", "y", F.col("b_i").alias("i"), F.col("b_j").alias("j")))
         other = other.select("i", "j", F.col("x").alias("b_x"), F.col("y").alias("b_y"))
         d2 = squared_distance(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"))
         close = other.join(F.broadcast(facing), ["i", "j"]).filter(d2 <= F.lit(limit)).select("id", F.lit(1).cast("long").alias("n"))
     else:
-        # by the comparisons to make: the bytes, which size shuffles otherwise, say little
-        tasks = max(_tasks(queries.sparkSession), min(MOST_TASKS, int(tests / TASK_TESTS)))
-        close = _compared(leaves, mine, other, tasks, limit)
+        small, large = leaf & (F.col("work") <= LEAF_PAIRS), leaf & (F.col("work") > LEAF_PAIRS)
+        tests, facing = pairs.agg(F.sum(F.when(small, F.col("work"))), F.sum(F.when(large, F.col("b_n")))).first()
+        found = []
+        if tests:
+            # by the comparisons to make: the bytes, which size shuffles otherwise, say little
+            tasks = max(_tasks(spark), min(MOST_TASKS, int(tests / TASK_TESTS)))
+            leaves = pairs.filter(small).withColumnsRenamed({"a_i": "i", "a_j": "j"})
+            found.append(_compared(leaves, *of_both(small), tasks, limit))
+        if facing:
+            tasks = max(_tasks(spark), min(MOST_TASKS, int(facing / TASK_POINTS)))
+            found.append(_swept(pairs.filter(large), outside_hot(queries, hot_a), outside_hot(data, hot_b), tasks, limit))
+        close = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return whole.unionByName(close.select("id", nowhere.alias("x"), nowhere.alias("y"), "n"))
 
 
@@ -155,6 +179,91 @@ def _compared(leaves: DataFrame, queries: DataFrame, data: DataFrame, tasks: int
     return met.mapInArrow(counted, "id long, n long")
 
 
+def _swept(leaves: DataFrame, queries: DataFrame, data: DataFrame, tasks: int, limit: float) -> DataFrame:
+    """``id, n`` as of ``_compared``, for pairs of cells of up to ``LEAF_POINTS`` points each.
+
+    A cell and about ``FACING_POINTS`` points of those it faces are a group; of these only points in reach of the
+    extent of the cell are sent, and all that comes back is a row for each point of the cell.
+    """
+    so_far = W.partitionBy("a_i", "a_j").orderBy("b_i", "b_j").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("b_n").over(so_far), F.lit(0))
+    parts = leaves.withColumn("part", F.floor(before / F.lit(FACING_POINTS)))
+    groups = cut(parts.groupBy("a_i", "a_j", "part").agg(
+        F.collect_list(F.struct("b_i", "b_j")).alias("b"), *(F.first(c).alias(c) for c in _box_names("a_")))
+        .withColumn("group", F.monotonically_increasing_id()))
+    cells = groups.select("group", F.explode("b").alias("b"), *_box_names("a_")).select("group", "b.b_i", "b.b_j", *_box_names("a_"))
+    few = leaves.count() <= BROADCAST_ROWS
+    def met(points, side, names):
+        named = points.withColumnsRenamed({"i": f"{side}_i", "j": f"{side}_j"})
+        return named.join(F.broadcast(names) if few else names, [f"{side}_i", f"{side}_j"])
+    mine = met(queries, "a", groups.select("group", "a_i", "a_j")).select("group", "id", "x", "y")
+    near = (met(data, "b", cells).filter(nearest_between(point_box(F.col("x"), F.col("y")), box("a_")) <= F.lit(limit))
+            .select(F.col("group").alias("of"), F.col("x").alias("b_x"), F.col("y").alias("b_y")))
+
+    def counted(a: pa.Table, b: pa.Table) -> pa.Table:
+        ax, ay, bx, by = (t.column(c).to_numpy() for t, c in ((a, "x"), (a, "y"), (b, "b_x"), (b, "b_y")))
+        n = _sweep(ax, ay, bx, by, limit)
+        some = n > 0
+        return pa.table({"id": pa.array(a.column("id").to_numpy()[some], pa.int64()), "n": pa.array(n[some], pa.int64())})
+    return (mine.repartition(tasks, "group").groupBy("group")
+            .cogroup(near.repartition(tasks, "of").groupBy("of")).applyInArrow(counted, "id long, n long"))
+
+
+def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different points, ascending, the number of copies of each, and which of them every point is."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return x[new], y[new], np.bincount(which), which
+
+
+def _sweep(ax, ay, bx, by, limit: float) -> np.ndarray:
+    """For each point of ``a`` the points of ``b`` in reach.
+
+    Strips of ``b`` have as many points each, whatever their height, in order of x. A run of them is in reach for
+    certain, by the extent of the strip; those beside the run that could be are tested one by one, in the arithmetic of
+    ``squared_distance``. The run is a little smaller, and what is tested a little more, than any rounding could ask for.
+    """
+    if not len(ax) or not len(bx):
+        return np.zeros(len(ax), np.int64)
+    ax, ay, _, which = _places(ax, ay)
+    bx, by, copies, _ = _places(bx, by)
+    out = np.zeros(len(ax), np.int64)
+    slack = max(limit * 1e-14, 1e-300)
+    by_y = by.argsort(kind="stable")
+    size = max(1, int(STRIP * math.sqrt(len(bx))))
+    for at in range(0, len(bx), size):
+        strip = np.sort(by_y[at:at + size])         # points are in order of x
+        low, high = by[by_y[at]], by[by_y[min(at + size, len(bx)) - 1]]
+        x, y, many = bx[strip], by[strip], copies[strip]
+        gap, far = np.maximum(np.maximum(low - ay, ay - high), 0.0), np.maximum(high - ay, ay - low)
+        outer = limit + slack - gap * gap
+        reached = np.flatnonzero(outer >= 0)
+        if not len(reached):
+            continue
+        mine, wide, inner = ax[reached], np.sqrt(outer[reached]), limit - slack - far[reached] ** 2
+        narrow = np.sqrt(np.maximum(inner, 0.0))
+        pad = 1e-15 * (np.abs(mine) + wide)
+        first, end = x.searchsorted(mine - wide - pad, "left"), x.searchsorted(mine + wide + pad, "right")
+        sure, sure_end = x.searchsorted(mine - narrow + pad, "left"), x.searchsorted(mine + narrow - pad, "right")
+        none = (inner < 0) | (sure >= sure_end)
+        sure[none] = sure_end[none] = end[none]
+        total = np.append(0, np.cumsum(many))
+        out[reached] += total[sure_end] - total[sure]
+        starts, sizes = np.concatenate([first, sure_end]), np.concatenate([sure - first, end - sure_end])
+        whose = np.concatenate([reached, reached])
+        some = np.flatnonzero(sizes > 0)
+        for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes[some]) // SWEPT)) + 1):
+            i, j = np.repeat(whose[part], sizes[part]), ranges(starts[part], sizes[part])
+            dx, dy = ax[i] - x[j], ay[i] - y[j]
+            close = dx * dx + dy * dy <= limit
+            out += np.bincount(i[close], many[j[close]], len(out)).astype(np.int64)
+    return out[which]
+
+
 class _CellPoints:
     """Points cell by cell."""
 
@@ -251,7 +360,8 @@ def count_within(queries: DataFrame, data: DataFrame, distance: float) -> DataFr
     pairs = cut(_settle(_adjacent(a_cells, b_cells), limit))
     while True:
         is_open = ~F.col("whole")
-        leaf = is_open if level == deepest else is_open & (F.col("work") <= LEAF_PAIRS)
+        held = F.greatest("a_n", "b_n") <= min(LEAF_POINTS, hot_bound(0))
+        leaf = is_open if level == deepest else is_open & ((F.col("work") <= LEAF_PAIRS) | held)
         heavy = pairs.filter(is_open & ~leaf)
         splits, rows, tests = pairs.agg(F.count_if(is_open & ~leaf), F.sum(F.when(leaf, F.col("a_n"))),
                                         F.sum(F.when(leaf, F.col("work")))).first()

@@ -226,3 +226,41 @@ def test_a_large_cell_that_is_not_hot(spark, monkeypatch):
     pairs = [(0.5, 0.5)] * 300 + [(10.0 + k, 3.0 * (k % 5)) for k in range(300)] + clouds(6, [120, 60])
     points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(pairs)], "id long, x double, y double")
     assert counted(outliers.neighbour_counts(points, 1.5)) == brute(pairs, 1.5)
+
+
+@pytest.mark.parametrize("strip, swept", [(4, 1 << 18), (0.1, 1), (1, 50)])
+def test_a_sweep_counts_like_pairs(monkeypatch, strip, swept):
+    monkeypatch.setattr(within, "STRIP", strip)
+    monkeypatch.setattr(within, "SWEPT", swept)
+    draw = np.random.default_rng(4)
+    clouded = draw.normal(0, 1, (2, 300)) * draw.choice([1e-3, 1, 4], 300)
+    for a, b, limit in [(clouded[:, :120], clouded, 2.25),
+                        (draw.integers(-6, 6, (2, 150)).astype(float), draw.integers(-6, 6, (2, 400)).astype(float), 25.0),
+                        (draw.integers(0, 9, (2, 90)) / 4 + 1e9, draw.integers(0, 9, (2, 90)) / 4 + 1e9, 0.5625),
+                        (draw.integers(0, 30, (2, 200)) * 0.1, draw.integers(0, 30, (2, 200)) * 0.1, 0.5 * 0.5),
+                        (clouded, np.zeros((2, 70)), 1e-6), (clouded, np.empty((2, 0)), 1.0)]:
+        (ax, ay), (bx, by) = a, b
+        want = [sum((x - u) * (x - u) + (y - v) * (y - v) <= limit for u, v in zip(bx, by)) for x, y in zip(ax, ay)]
+        assert within._sweep(ax, ay, bx, by, limit).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["clouds", "dense against D", "on cell borders", "exactly D apart"])
+@pytest.mark.parametrize("facing", [1, 1 << 20])
+def test_large_cells_are_swept(plane, monkeypatch, name, facing):
+    for limit, value in (("BROADCAST_ROWS", 3), ("LEAF_PAIRS", 4), ("FACING_POINTS", facing), ("TASK_POINTS", 100)):
+        monkeypatch.setattr(within, limit, value)
+    pairs, distance = CASES[name]
+    assert counted(outliers.neighbour_counts(plane(pairs), distance)) == brute(pairs, distance)
+
+
+def test_a_point_goes_to_few_keys_however_many_it_reaches(plane, monkeypatch):
+    """Cells that a task can hold are not split, so a denser cloud does not send its points to more keys."""
+    monkeypatch.setattr(within, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(within, "LEAF_PAIRS", 64)
+    draw = np.random.default_rng(5)
+    levels = []
+    located = within._locate
+    monkeypatch.setattr(within, "_locate", lambda points, side: levels.append(side) or located(points, side))
+    pairs = list(zip(*draw.uniform(0, 4, (2, 400))))
+    assert counted(outliers.neighbour_counts(plane(pairs), 1.0)) == brute(pairs, 1.0)
+    assert levels == [2.0]
