@@ -44,6 +44,7 @@ SAMPLES = BANDS * ROWS
 DIFFER = SAMPLES * (1 - SIMILAR / OF) + 6 * (SAMPLES * (1 - SIMILAR / OF) * SIMILAR / OF) ** 0.5
 FLIPPED = round(BITS / 2 * (1 - exp(-4 * DIFFER / BITS))) + 3
 HUBS = (1, 16, 512)              # hubs of a bucket in each round, the last for all further ones
+SENT = 1 << 21                   # classes or ids sent to all tasks, after being counted; beyond that texts are dealt by id
 CACHED = 200_000                 # words whose hashes a worker keeps; time only
 
 _draw = np.random.default_rng(11)
@@ -140,6 +141,11 @@ def _members(classes: DataFrame) -> DataFrame:
     return spread.join(shared, "key")
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """To be joined with texts: sent to all tasks unless it has too many rows, so that texts stay where they are."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``cls, them``: the shingles of the wanted classes, from one document each.
 
@@ -147,7 +153,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows without id by itself, so these rows are no key that all of them share.
     """
     row = docs.select(F.col("doc_id").cast("long").alias("wanted_id"), "text")
-    texts = row.filter("wanted_id is not null").join(wanted.filter("wanted_id is not null"), "wanted_id").select("cls", "text")
+    by_id = _sent(wanted.filter("wanted_id is not null"))
+    texts = row.filter("wanted_id is not null").join(by_id, "wanted_id").select("cls", "text")
 
     def made(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t) for t in raw(batch)]
@@ -163,7 +170,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets are similar enough."""
+    """The pairs ``(u, v)`` whose full sets are similar enough; only sets that a pair names are dealt out."""
+    named = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+    if named.count() <= SENT:
+        sets = sets.join(F.broadcast(named), "cls", "left_semi")
     one = lambda c, them: sets.select(F.col("cls").alias(c), F.col("them").alias(them))
     common = F.size(F.array_intersect("a", "b"))
     return (pairs.join(one("u", "a"), "u").join(one("v", "b"), "v")
@@ -270,11 +280,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stays = found.filter("kept")
     kept = (stays.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("id"), F.min("cls").alias("cls")).select("id", "cls")
             .unionByName(stays.filter("n_shingles = 0").select(F.col("doc_id").alias("id"), "cls").distinct()))
-    times = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("m"), F.max("kept").alias("any")).filter("any")
-    again = times.filter("m > 1 or id is null").select("id")
+    times = stored(found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("m"), F.max("kept").alias("any")), "times")
+    again = times.filter("any and (m > 1 or id is null)").select("id")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     by_id = F.col("row.doc_id").cast("long") == F.col("id")
-    out = rows.join(times.filter("m = 1 and id is not null").select("id"), by_id, "left_semi")
+    # the ids of which one row stays as it is are most of all, so the others are named
+    others = times.filter("id is not null and not (any and m = 1)").select("id")
+    out = rows.filter(F.col("row.doc_id").cast("long").isNotNull()).join(_sent(others), by_id, "left_anti")
     if not again.isEmpty():
         # rows without doc_id are not joined by it, as they would all be one key
         several = rows.join(again, by_id, "left_semi").unionByName(rows.filter("row.doc_id is null"))

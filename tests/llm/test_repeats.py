@@ -33,3 +33,24 @@ def test_rows_without_id_are_no_common_key(docs, spark):
     plan = sets._jdf.queryExecution().executedPlan().toString()
     assert "<=>" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
     assert odd_sketch.deduplicated(docs(rows[:30])).count() == 30
+
+
+def test_only_sets_that_a_pair_names_are_dealt_out(spark):
+    sets = spark.createDataFrame([(b"a", [1, 2, 3]), (b"b", [1, 2, 3]), (b"c", [9]), (b"d", [1, 2, 3])], "cls binary, them array<long>")
+    pairs = spark.createDataFrame([(b"a", b"b"), (b"a", b"c")], "u binary, v binary")
+    found = odd_sketch.confirmed(pairs, sets)
+    assert [(bytes(r.u), bytes(r.v)) for r in found.collect()] == [(b"a", b"b")]
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_stay_where_they_are(docs, monkeypatch):
+    """Joins with texts take the ids to them, and beyond a bound give the same rows by dealing out the texts."""
+    rows = ROWS + [(None, "a b c d e f"), (1, "a b c d e f g"), (77, None)]
+    got = []
+    for sent in (1 << 21, 0):
+        monkeypatch.setattr(odd_sketch, "SENT", sent)
+        df = odd_sketch.deduplicated(docs(rows))
+        got.append(sorted(((r.doc_id, r.text) for r in df.collect()), key=str))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftAnti" in plan) and ("strategy=broadcast" in plan) == (sent > 0)
+    assert got[0] == got[1]
