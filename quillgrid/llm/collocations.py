@@ -2,10 +2,10 @@
 
 Phrases of two to four words are found level by level. A phrase can only be frequent if the phrases
 without its last and without its first word are, so only such occurrences propose candidates of the next
-length; proposals are summed in every task before they are shuffled, and rare ones go. The candidates of a
+length; proposals are summed in every task and shuffled as sorted runs, and rare ones go. The candidates of a
 length are compiled into double-array tries, at most ``SHARD`` phrases each. A trie is broadcast, and numpy
 moves the states of all text positions through it at once, one digit of a word's number after the other;
-what ends in accepting states is counted by bincounts, summed up over batches, tasks and tries.
+what ends in accepting states is counted in the same way, over batches, tasks and tries.
 
 Texts are numbered once: a word too rare for any phrase and the border of a piece become one 0, so blocks
 of numbers hold no more than what can match. Their states are written down for the next length.
@@ -43,6 +43,8 @@ SHARD = 1 << 18                     # words or phrases that are broadcast at onc
 HELD = 1 << 17                      # words a task counts before it hands them on
 POSITIONS = 1 << 19                 # text positions whose proposals a task counts before it hands them on
 DOCUMENTS = 32                      # of a block
+SHARE = 1 << 22                     # words of the texts for which there is one share of the numbers to be counted
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 OUT = 1 << 16                       # rows of a batch
 GROUP = 1 << 23                     # bytes of blocks that a reader or writer holds at once
 
@@ -301,36 +303,97 @@ def with_states(blocks: DataFrame, made: DataFrame, shards: int, digits: int, le
 
 # -- candidates -------------------------------------------------------------------
 
-def proposed(blocks: DataFrame, count: bool, propose: bool) -> DataFrame:
-    """``accepted, key, n``: how often each state was accepted, and how often two states overlap in a longer phrase."""
-    def summed(them):
-        held, states, size = [], [], 0
+def _pairs(s: np.ndarray) -> np.ndarray:
+    """Two states that overlap in a longer phrase, as one number."""
+    at = np.flatnonzero((s[:-1] != 0) & (s[1:] != 0))
+    return s[at].astype(np.int64) << ID_BITS | s[at + 1]
+
+
+def _states(s: np.ndarray) -> np.ndarray:
+    return s[s != 0].astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers from 0 on byte by byte, all their lowest bytes first, with as few bytes as the largest takes."""
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    return bytes([width]) + x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(planes: bytes | pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(planes, np.uint8)
+    out = np.zeros((len(planes[1:]) // int(planes[0]), 8), np.uint8)
+    out[:, :planes[0]] = planes[1:].reshape(planes[0], -1).T
+    return out.view("<i8").ravel()
+
+
+def _run(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending numbers as their steps, and how often each occurs."""
+    return _planes(np.diff(keys, prepend=np.int64(0))), _planes(n)
+
+
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all runs, ascending, and their sums."""
+    keys, n = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
+    order = keys.argsort(kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def proposed(blocks: DataFrame, n_words: int, least: int, of=_pairs) -> DataFrame:
+    """``key, n`` for the numbers that ``of`` finds in the states of blocks at least ``least`` times.
+
+    Each number has one share, drawn by its hash; there is one for each ``SHARE`` words, so a share has at most about
+    as many numbers whatever the texts. A task counts what it meets in ``POSITIONS`` positions and sends
+    a sorted run for each share, the runs of a share are merged in a task.
+    """
+    shares = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_words // SHARE))
+
+    def counted(them):
+        held, size = [], 0
 
         def flush():
-            if propose and held:
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                yield from _batches(accepted=pa.array(np.zeros(len(keys), bool)), key=pa.array(keys), n=pa.array(n))
-            if count and states:
-                every = np.concatenate(states)
-                for low in range(0, int(every.max(initial=0)) + 1, SHARD):
-                    n = np.bincount(every[(every >= low) & (every < low + SHARD)] - low)
-                    some = np.flatnonzero(n)
-                    yield from _batches(accepted=pa.array(np.ones(len(some), bool)), key=pa.array(some + low), n=pa.array(n[some]))
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            share = (keys.astype(np.uint64) * MULTIPLIER >> np.uint64(32)) % np.uint64(shares)
+            order = share.argsort(kind="stable")         # ascending within a share
+            keys, n, share = keys[order], n[order], share[order]
+            ends = np.append(np.flatnonzero(np.diff(share)) + 1, len(share))
+            rows = [(int(share[low]), *_run(keys[low:high], n[low:high])) for low, high in zip(np.append(0, ends), ends) if high > low]
             held.clear()
-            states.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["share", "steps", "counts"])
         for _, s, _ in _blocks(them):
-            if propose:
-                at = np.flatnonzero((s[:-1] != 0) & (s[1:] != 0))
-                held.append(s[at].astype(np.int64) << ID_BITS | s[at + 1])
-            if count:
-                states.append(s[s != 0])
+            held.append(of(s))
             size += len(s)
             if size > POSITIONS:
                 yield from flush()
                 size = 0
-        yield from flush()
-    rows = blocks.mapInArrow(summed, "accepted boolean, key long, n long")
-    return rows.groupBy("accepted", "key").agg(F.sum("n").alias("n"))
+        if held:
+            yield from flush()
+
+    def summed(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, runs, size = None, [], 0
+
+        def whole():
+            keys, n = _merged(runs)
+            often = n >= least
+            runs.clear()
+            yield from _batches(key=pa.array(keys[often]), n=pa.array(n[often]))
+        for batch in them:
+            for its, steps, counts in zip(batch.column("share").to_pylist(), batch.column("steps"), batch.column("counts")):
+                if its != share and runs:
+                    yield from whole()
+                    size = 0
+                share = its
+                runs.append((np.cumsum(_from_planes(steps.as_buffer())), _from_planes(counts.as_buffer())))
+                size += len(runs[-1][0])
+                if len(runs) > 1 and size > POSITIONS + 2 * len(runs[0][0]):     # a run of all so far, and what came since
+                    runs[:] = [_merged(runs)]
+                    size = len(runs[0][0])
+        if runs:
+            yield from whole()
+    runs = blocks.mapInArrow(counted, "share int, steps binary, counts binary")
+    return runs.repartition(shares, "share").sortWithinPartitions("share").mapInArrow(summed, "key long, n long")
 
 
 def _longer(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -361,13 +424,14 @@ def phrase_levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     totals = counts.filter("word is null").select("lang", F.col("n").alias("total"))
     vocabulary, total, shards = numbered(counts.filter("word is not null"), "lang", "word")
     vocabulary = stored(vocabulary, "vocabulary")
+    n_words = totals.agg(F.sum("total")).first()[0] or 0
     digits = max(1, -(-total.bit_length() // RADIX_BITS))
     blocks = coded(docs, vocabulary, shards)
     none = F.array().cast("array<long>")
     levels = [vocabulary.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n",
                                 F.array(F.col("id").cast("int")).alias("codes"), none.alias("heads"), none.alias("tails"))]
     for length in range(2, longest + 1):
-        sums = stored(proposed(blocks, count=False, propose=True).filter(F.col("n") >= least), "proposed")
+        sums = stored(proposed(blocks, n_words, least), "proposed")
         pairs, total, shards = numbered(sums.select("key"), "key")
         if not total:
             forget(sums)
@@ -377,7 +441,7 @@ def phrase_levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
         phrases = stored(_longer(pairs, levels[-1]), "phrases")
         made = stored(tries(phrases, digits), "tries")
         older, blocks = blocks, with_states(blocks, made, shards, digits, length)
-        accepted = proposed(blocks, count=True, propose=False).select(F.col("key").alias("id"), "n")
+        accepted = proposed(blocks, n_words, 1, _states).select(F.col("key").alias("id"), "n")
         levels.append(stored(phrases.join(accepted, "id"), "level"))
         forget(sums, phrases, made, older)
     forget(blocks)

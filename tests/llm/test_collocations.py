@@ -106,3 +106,27 @@ def test_double_array(n, highest, length, digits):
     ever = np.ones(len(every), np.int32)
     ever[-length:] = 0
     assert set(collocations.advanced(trie, every, ever, length)) - {0} == set(ids.tolist())
+
+
+@pytest.mark.parametrize("keys, n", [([0], [1]), ([5, 6, 1 << 20, (1 << 62) - 1], [1, 300, 2, 1 << 40]), (list(range(0, 9000, 7)), [1] * 1286)])
+def test_runs_keep_numbers_and_sums(keys, n):
+    steps, counts = collocations._run(np.array(keys), np.array(n))
+    assert np.cumsum(collocations._from_planes(steps)).tolist() == keys
+    assert collocations._from_planes(counts).tolist() == n
+
+
+@pytest.mark.parametrize("positions, words", [(1 << 19, 100), (50, 100), (50, 1 << 27)])
+def test_proposals_are_summed_as_runs(spark, monkeypatch, positions, words):
+    """Tasks send a row for each share, not for each pair of words, and all pairs come back with their sums."""
+    monkeypatch.setattr(collocations, "POSITIONS", positions)
+    draw = np.random.default_rng(2)
+    made = [draw.integers(0, 40, 300, np.int32) for _ in range(20)]
+    blocks = spark.createDataFrame([(x.tobytes(), x.tobytes()) for x in made], "x binary, s binary").repartition(4)
+    for of, want in ((collocations._pairs, Counter(int(a) << 31 | int(b) for x in made for a, b in zip(x, x[1:]) if a and b)),
+                     (collocations._states, Counter(int(a) for x in made for a in x if a))):
+        for least in (1, 5):
+            got = collocations.proposed(blocks, words, least, of).collect()
+            assert len(got) == len({r.key for r in got})
+            assert {r.key: r.n for r in got} == {k: n for k, n in want.items() if n >= least}
+    sent = collocations.proposed(blocks, words, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in sent and "steps" in sent
