@@ -1,8 +1,8 @@
 """Benchmark decontamination by one Aho-Corasick automaton over the test items.
 
 Every run of 13 consecutive words of an item (or the whole item if it has fewer) is a
-pattern of one automaton. A text is normalised to its words and scanned once; a match is
-mapped back to words and from these to characters of the original text.
+pattern of one automaton, which spells each word of the items in a few letters. A text is normalised
+to its words and scanned once; a match is a run of words and is mapped to characters of the original text.
 
 Nulls: a null text has no words and is never contaminated. An item without words gives no
 window; one whose id is null is looked for, but not counted or listed among the items.
@@ -10,60 +10,60 @@ window; one whose id is null is looked for, but not counted or listed among the
 
 import functools
 import hashlib
-from bisect import bisect_right
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.tables import forget, stored
 from quillgrid.llm.text import WORD_BYTES, kept_rows, per_batch, raw, words
 
 WINDOW = 13
 SHARE = 20                       # contaminated: at least 1 of so many words is hit
-#: UTF-8 bytes of items in one automaton. It is sent to every task, so its size is checked;
-#: a larger set of items is cut into several, and each scans the texts in turn.
-ITEM_BYTES = 16 << 20
-
-
-def windows(text: bytes, size: int = WINDOW) -> set[bytes]:
-    w = words(text)
-    if not w:
-        return set()
-    return {b" ".join(w[k:k + size]) for k in range(max(1, len(w) - size + 1))}
-
-
-@functools.lru_cache(maxsize=2)
-def automaton(items: tuple[tuple[int | None, bytes], ...], size: int) -> ahocorasick.Automaton:
-    """Patterns are windows between blanks; each carries its length, its words and its items."""
-    owners: dict[bytes, set] = {}
-    for item_id, text in items:
-        for window in windows(text, size):
-            owners.setdefault(window, set()).add(item_id)
+#: UTF-8 bytes of items in one automaton, which takes some hundred times that. It is in the memory of
+#: every worker, so its size is checked; a larger set of items is cut into several, and each scans the texts in turn.
+ITEM_BYTES = 256 << 10
+#: Letters for each place of a word's code; a state looks for the next one among all it knows.
+LETTERS = 64
+
+
+@functools.lru_cache(maxsize=1)
+def automaton(items: tuple[tuple[int | None, bytes], ...], size: int) -> tuple[dict[bytes, str], str, ahocorasick.Automaton]:
+    """Codes of the items' words and of any other, all of one length, and windows as patterns; each has its words' count and its items."""
+    numbers: dict[bytes, int] = {}
+    for _, text in items:
+        for x in words(text):
+            numbers.setdefault(x, len(numbers))
+    long = 1
+    while LETTERS ** long < len(numbers):
+        long += 1
+    # each place has letters of its own, so that a pattern is only found where a word begins
+    codes = {x: "".join(chr(1 + LETTERS * p + n // LETTERS ** p % LETTERS) for p in range(long)) for x, n in numbers.items()}
+    del numbers
     found = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        pattern = f" {window.decode()} "
-        found.add_word(pattern, (len(pattern), window.count(b" ") + 1, frozenset(ids)))
+    owners: dict[frozenset, frozenset] = {}          # most windows have few items in common
+    for item_id, text in items:
+        w = [codes[x] for x in words(text)]
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            window = "".join(w[k:k + size])
+            ids = found.get(window, (0, frozenset()))[1] | {item_id}
+            found.add_word(window, (len(window) // long, owners.setdefault(ids, ids)))
     if len(found):
         found.make_automaton()
-    return found
+    return codes, "\0" * long, found
 
 
-def scan(text: bytes, found: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set]:
+def scan(text: bytes, machine: tuple[dict[bytes, str], str, ahocorasick.Automaton]) -> tuple[int, list[tuple[int, int]], set]:
     """Number of words, disjoint runs of words that are hit as ``(first, end)``, and the items."""
+    codes, other, found = machine
     w = words(text)
     if not w or not len(found):
         return len(w), [], set()
-    line = f" {b' '.join(w).decode()} "
-    runs, ids, starts = [], set(), None
-    for end, (length, n, owners) in found.iter(line):
-        if starts is None:
-            starts, at = [], 0
-            for x in line[1:-1].split(" "):
-                starts.append(at)
-                at += len(x) + 1
-        first = bisect_right(starts, end - length + 1) - 1
-        runs.append((first, first + n))
+    runs, ids = [], set()
+    for last, (n, owners) in found.iter("".join([codes.get(x, other) for x in w])):
+        end = (last + 1) // len(other)
+        runs.append((end - n, end))
         ids |= owners
     return len(w), joined(runs), ids
 
@@ -125,8 +125,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_bytes:
             return {"doc_id": batch.column("doc_id").cast(pa.int64()), "text": batch.column("text"),
                     "n_words": [n for n, _, _ in made], "runs": [[x for run in r for x in run] for r in runs],
                     "items": [sorted(i) for i in ids]}
+        before = out
         out = per_batch(out, found, "doc_id long," + "text string," * carried
                         + "n_words long,runs array<long>,items array<long>")
+        if k + 1 < len(parts):      # one automaton at a time
+            out = stored(out, "hits")
+            if k:
+                forget(before)
     return out
 
 
@@ -157,15 +162,16 @@ def spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, item_bytes:
     return per_batch(hits(docs, benchmark, size, item_bytes, text=True), placed, "doc_id long,start long,end long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The documents that are not contaminated, as they are: decided within the row, without a join."""
-    parts = shards(benchmark)
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = SHARE, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The documents that are not contaminated, as they are: with one set of items decided within the row, without a join."""
+    parts = shards(benchmark, item_bytes)
+    if len(parts) > 1:
+        rows = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("nth")), "rows")
+        bad = contamination(rows.select(F.col("nth").alias("doc_id"), "row.text"), benchmark, size, share, item_bytes).filter("contaminated")
+        return rows.join(bad.select(F.col("doc_id").alias("nth")), "nth", "left_anti").select("row.*")
 
-    def keeps(text: bytes) -> bool:
-        n, runs = 0, []
-        for items in parts:
-            n, more, _ = scan(text, automaton(items, size))
-            runs = joined(runs + more)
+    def keeps(text: bytes, items=parts[0]) -> bool:
+        n, runs, _ = scan(text, automaton(items, size))
         hit = sum(end - first for first, end in runs)
         return not (hit > 0 and share * hit >= n)
     return kept_rows(docs, keeps)

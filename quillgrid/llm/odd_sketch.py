@@ -45,7 +45,7 @@ DIFFER = SAMPLES * (1 - SIMILAR / OF) + 6 * (SAMPLES * (1 - SIMILAR / OF) * SIMI
 FLIPPED = round(BITS / 2 * (1 - exp(-4 * DIFFER / BITS))) + 3
 HUBS = (1, 16, 512)              # hubs of a bucket in each round, the last for all further ones
 SENT = 1 << 21                   # classes or ids sent to all tasks, after being counted; beyond that texts are dealt by id
-CACHED = 200_000                 # words whose hashes a worker keeps; time only
+CACHED = 60_000                  # words whose hashes a worker keeps; time only
 
 _draw = np.random.default_rng(11)
 _FACTORS = _draw.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)

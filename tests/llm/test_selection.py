@@ -59,6 +59,17 @@ def test_clean_documents_stay_as_they_are(docs, spark):
     assert Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in df.collect() if r.doc_id not in dirty)
 
 
+def test_many_items_are_scanned_by_one_small_automaton_after_the_other(docs, spark, monkeypatch):
+    df, items = docs(CASES), spark.createDataFrame(ITEM_ROWS, ITEMS)
+    dirty = {r[0] for r in _contamination(CASES, ITEM_ROWS) if r[5]}
+    kept = decontaminate.clean(df, items, item_bytes=60)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in df.collect() if r.doc_id not in dirty)
+    text = " ".join(f"word{k % 5000}x{k % 7}" for k in range(20_000)).encode()
+    *_, machine = decontaminate.automaton(((1, text),), 13)
+    assert machine.get_stats()["total_size"] < 150 * len(text)       # of any length, few letters for each word
+
+
 def test_spans_are_places_in_the_original(docs, spark):
     text = "Été -- W3, w4 w5; w6 w7 w8 w9 w10 w11 w12 w13 W14 w15! fin"
     got = decontaminate.spans(docs([(1, text)]), spark.createDataFrame(ITEM_ROWS, ITEMS)).collect()
