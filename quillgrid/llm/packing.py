@@ -20,6 +20,7 @@ Rows that repeat are packed as often as they occur.
 import functools
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -52,6 +53,10 @@ BYTE_LETTERS = _byte_letters()
 #: A word of ASCII and Latin-1 letters and the ASCII punctuation after it, but for apostrophes.
 #: The vocabulary's rules cut between the two, and nothing but the case of the word changes.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts of these letters and ASCII only: no mark of another script changes a letter before it.
+LATIN = re.compile(rb"(?:[\x00-\x7f]++|(?:\xc3[\x80-\xbf])++)*+")
+#: In such a text, lower-cased, a mark between a letter and a blank: the rules cut before and after it.
+MARK = re.compile(rb"(?<=[a-z\x9f-\xb6\xb8-\xbf])[,.;:!?](?=[\x09-\x0d\x20])")
 
 
 class Ids:
@@ -65,8 +70,9 @@ class Ids:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
+        # entries in use enter the new cache again before the old one goes
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, parts: list[bytes]) -> list[bytes]:
         made = self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)
@@ -74,36 +80,40 @@ class Ids:
 
     def word(self, letters: bytes) -> bytes:
         text = letters.decode().lower()
-        made = self.words.get(text)
-        if made is None:
-            pieces = self.merges.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))
-            made = self.words[text] = np.array([t.id for t in pieces], "<u4").tobytes()
-        return made
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        found = [t.id for t in self.merges.tokenize(text)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def part(self, part: bytes) -> bytes:
         """Ids of a part between blanks."""
-        plain = PLAIN.fullmatch(part) if b"<|" not in part else None      # special tokens start like this
-        if plain is None or len(part) > LONGEST:
-            made = self.encode([part])[0]
-        else:
-            made = self.word(plain[1])
-            if plain[2]:
-                made += self.known.get(plain[2]) or self.part(plain[2])
+        made = self.known.get(part) or self.older.get(part)
+        if made is None:
+            plain = PLAIN.fullmatch(part) if b"<|" not in part else None      # special tokens start like this
+            if plain is None or len(part) > LONGEST:
+                made = self.encode([part])[0]
+            elif plain[2]:
+                made = self.part(plain[1]) + self.part(plain[2])
+            else:
+                made = self.word(part)
         if len(part) <= LONGEST:
             self.known[part] = made
         return made
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        get, out = self.known.get, []
+        out = []
         for text in texts:
             if len(self.known) > CACHED:
-                self.known.clear()
-            if len(self.words) > CACHED:
-                self.words.clear()
+                self.known, self.older = {}, self.known
             # upper case matters to special tokens, and to letters that a mark of another script follows
-            parts = (text.lower() if text.isascii() and b"<|" not in text else text).split()
-            made = list(map(get, parts))
+            if b"<|" not in text:
+                if text.isascii():
+                    text = MARK.sub(rb" \g<0>", text.lower())
+                elif LATIN.fullmatch(text):
+                    text = MARK.sub(rb" \g<0>", text.decode().lower().encode())
+            parts = text.split()
+            made = list(map(self.known.get, parts))
             if None in made:
                 made = [self.part(p) if m is None else m for p, m in zip(parts, made)]
             out.append(b"".join(made))

@@ -74,6 +74,29 @@ def test_ids_are_those_of_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_latin_texts_with_marks(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 40)
+    library = Tokenizer.from_file(public_tokenizers.path(packing.MODEL))
+    ours = packing.Ids(public_tokenizers.path(packing.MODEL))
+    draw = random.Random(4)
+    some = ["a", "B", "the", "Ärger", "ß", "÷", "×", "É", "ÿ", "1", "'s", "'LL", ",", ".", ";", "!?", " ", " ", "\n", "\t", "\x0b", "\x1c", "\xa0", "\u0301", "Σ", "<|", "-"]
+    texts = ["".join(draw.choice(some[:draw.choice([18, len(some)])]) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    texts.append("word " * 20_000 + "漢")
+    for text, ids in zip(texts, ours.of([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_in_use_stay_known(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 50)
+    ours = packing.Ids(public_tokenizers.path(packing.MODEL))
+    asked, word = [], ours.word
+    monkeypatch.setattr(ours, "word", lambda letters: asked.append(letters) or word(letters))
+    letters = "abcdefghij"
+    ours.of([" ".join(f"The house, {letters[k // 10 % 10]}{letters[k % 10]}x{letters[k // 100]} the. house" for k in range(at, at + 10)).encode()
+             for at in range(0, 1000, 10)])
+    assert asked.count(b"the") == 1 and asked.count(b"house") == 1 and len(asked) == 1002
+
+
 def _one_by_one(lengths, capacity):
     gaps, n = [], 0
     for length in sorted(lengths, reverse=True):
